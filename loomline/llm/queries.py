@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import media, mixing, neighbours
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op6_media": media.op6_media,
+    "op10_neighbours": neighbours.op10_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}
