@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, mixing, neighbours
+from . import media, mixing, nearcopies, neighbours
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op5_near_copies": nearcopies.op5_near_copies,
     "op6_media": media.op6_media,
     "op10_neighbours": neighbours.op10_neighbours,
 }
