@@ -44,9 +44,19 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage ends there, and a lost executor costs nothing. It goes when the session ends."""
+def few(spark: SparkSession) -> int:
+    """Files for a table of narrow rows: two for each core, however many tasks made the rows."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
+def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it again: lineage ends there, and a lost executor costs nothing. It goes when the session ends.
+
+    narrow: rows without texts, which are dealt anew so that there are few files.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.repartition(few(spark))
     path = f"{shared_folder(spark)}/loomline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -59,7 +59,7 @@ def schedule(quotas: DataFrame, total: int, chunk: int = 4096) -> DataFrame:
     points = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"shiftright(((id * {PHI32}L) % 4294967296L) * {total}L, 32)").alias("point"))
     points = points.withColumn("cell", F.expr(f"point div {cell}"))
     drawn = points.join(ranges, "cell").where("point >= lo and point < hi").select("slot", "source_no", "slots", F.expr(f"slot div {chunk}").alias("chunk"))
-    ranked = common.materialize(_running(drawn, "source_no", "chunk", ["slot"], F.lit(1), "rank").select("slot", "source_no", "slots", "rank"), "slots")
+    ranked = common.materialize(_running(drawn, "source_no", "chunk", ["slot"], F.lit(1), "rank").select("slot", "source_no", "slots", "rank"), "slots", narrow=True)
     kept = ranked.where("rank < slots").select("slot", "source_no", "rank")
     got = ranked.groupBy("source_no").agg(F.count("*").alias("got"))
     short = quotas.where("slots > 0").join(got, "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < slots")
@@ -79,8 +79,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     spark = docs.sparkSession
     cols = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), common.n_words(F.col(text)).alias("size")]
     sized = docs.select(*cols, *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * payload)
-    sized = common.materialize(sized, "sized")
-    plan = common.materialize(targets(sized.select("source", "size"), weights, share, most), "targets")
+    sized = common.materialize(sized, "sized", narrow=not payload)
+    plan = common.materialize(targets(sized.select("source", "size"), weights, share, most).coalesce(1), "targets")
     words, rows = plan.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0], sized.count()
     block = max(block_words, int(words // (1 << 30)) + 1)
     # a pass takes whole blocks and a last part of one; the second pass begins with block 0 again
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     )
     by_block = by_block.groupBy("source_no", "block").agg(F.array_agg(F.struct("pass", "words")).alias("uses"))
 
-    groups = max(1, min(1 << 20, rows // 4096))
+    groups = max(1, min(1 << 20, rows // 256))
     hashed = sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("group", F.expr(f"shiftright(shiftrightunsigned(h, 34) * {groups}L, 30)"))
     hashed = hashed.join(plan.select(F.col("source").alias("_source"), "source_no", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     laid = _running(hashed, "source_no", "group", ["h", "doc_id", "size"], F.col("size"), "offset")
@@ -122,4 +122,4 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.col("passes")[0].alias("first_pass"), F.col("passes")[1].alias("second_pass"))
+    return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.col("passes")[0].alias("first_pass"), F.col("passes")[1].alias("second_pass")).coalesce(common.few(spark))

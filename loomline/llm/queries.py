@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, nearcopies, neighbours
+from . import media, mixing, nearcopies, neighbours, quality, suffixes
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op5_near_copies": nearcopies.op5_near_copies,
     "op6_media": media.op6_media,
+    "op7_quality": quality.op7_quality,
+    "op9_suffixes": suffixes.op9_suffixes,
     "op10_neighbours": neighbours.op10_neighbours,
 }
 
