@@ -113,9 +113,8 @@ def nn_pu(net: Network, positive: np.ndarray, unlabelled: np.ndarray, prior: flo
                 p -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def put_on_scale(net: Network, x: np.ndarray, y: np.ndarray, steps: int = 50) -> None:
-    """Logistic fit of the label on the margin (Newton), with a weak pull to slope 1."""
-    f = net.margin(x)
+def logistic_fit(f: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and bias of the logistic fit of label y on margin f (Newton), with a weak pull to slope 1."""
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
@@ -123,7 +122,7 @@ def put_on_scale(net: Network, x: np.ndarray, y: np.ndarray, steps: int = 50) ->
         g = np.array([((p - y) * f).sum() + (a - 1), (p - y).sum() + 0.1 * b])
         hess = np.array([[(w * f * f).sum() + 1, (w * f).sum()], [(w * f).sum(), w.sum() + 0.1]])
         a, b = np.array([a, b]) - np.clip(np.linalg.solve(hess, g), -2, 2)
-    net.slope, net.bias = max(float(a), 1e-3), float(b)
+    return max(float(a), 1e-3), float(b)
 
 
 def _feature_rows(df: DataFrame, more: list[str]) -> DataFrame:
@@ -166,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network
     nn_pu(net, x[1], x[2] if len(x[2]) else np.concatenate([x[0], x[1]]), min(float(prior), 0.99))
     # both labels in the proportion that they have
     weight = np.concatenate([x[0], x[1][: max(1, int(len(x[0]) * prior / (1 - prior)))] if prior < 1 else x[1]])
-    put_on_scale(net, weight, np.arange(len(weight)) >= len(x[0]))
+    net.slope, net.bias = logistic_fit(net.margin(weight), np.arange(len(weight)) >= len(x[0]))
     return net
 
 

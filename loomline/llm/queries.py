@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, nearcopies, neighbours, quality, suffixes
+from . import media, mixing, nearcopies, neighbours, quality, suffixes, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op5_near_copies": nearcopies.op5_near_copies,
     "op6_media": media.op6_media,
     "op7_quality": quality.op7_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_suffixes": suffixes.op9_suffixes,
     "op10_neighbours": neighbours.op10_neighbours,
 }
