@@ -22,9 +22,11 @@ from pyspark.sql import types as T
 from . import common
 
 BANDS, ROWS = 32, 5
-#: Signature agreement below which a pair can't have the similarity asked for: eight standard deviations of an estimate over BANDS * ROWS components.
-SLACK = 0.25
-BLOCK = 512
+#: Signature agreement below which a pair can't have the similarity asked for: five standard deviations of an estimate over BANDS * ROWS components.
+SLACK = 0.16
+BLOCK = 2048
+#: Rows of 24 bytes up to which the documents asked for are sent to all tasks.
+SEND_ROWS = 500_000
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
@@ -124,12 +126,16 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("d", "text").mapInArrow(run, "d binary, s array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class digests whose sets have 100 * intersection >= percent * union."""
-    asked = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
-    rows = asked.join(classes.select("d", "rk"), "d")
+def sets_of(asked: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """d, s of the asked classes, from one document of each. Few keys are sent to all tasks, more are joined by a shuffle."""
+    rows = common.materialize(asked.join(classes.select("d", "rk"), "d"), "asked", narrow=True)
+    rows = F.broadcast(rows) if rows.count() <= SEND_ROWS else rows
     # rk holds the row's id as well as its text, so copies of one text are spread, and one of them joins
-    sets = common.materialize(_sets(docs.join(rows, "rk").select("d", "text"), shingle).dropDuplicates(["d"]), "sets")
+    return common.materialize(_sets(docs.join(rows, "rk").select("d", "text"), shingle).dropDuplicates(["d"]), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of class digests whose sets have 100 * intersection >= percent * union."""
     both = pairs.join(sets.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
     common_ = F.size(F.array_intersect("sa", "sb"))
     return both.withColumn("common", common_).where(F.col("common") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
@@ -152,27 +158,44 @@ def components(links: DataFrame) -> DataFrame:
         edges = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least).distinct()
 
 
-def _apart(members: DataFrame, threshold: float) -> DataFrame:
-    """members: bucket, d, root, n, sig. Pairs of different roots in one bucket whose signatures could belong to linked sets, found in blocks of rows."""
+def _apart(members: DataFrame, percent: int) -> DataFrame:
+    """members: bucket, d, root, n, bands, sig, s. Pairs of different roots in one bucket that are linked as far as 32 bits of each shingle tell.
+
+    Rows are compared in blocks, and a pair only in the first bucket that it shares. Signatures far apart are passed over; of the links between two groups the
+    closest ones are enough. Nothing is sent for a pair that is not a link.
+    """
     counts = members.groupBy("bucket").count().select("bucket", F.expr(f"(count + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
-    rows = members.join(counts, "bucket").withColumn("own", F.expr("pmod(xxhash64(d), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "d", "root", "n", "sig")
+    rows = members.join(counts, "bucket").withColumn("own", F.expr("pmod(xxhash64(d), blocks)"))
+    rows = rows.withColumn("short", F.expr("array_sort(transform(s, x -> cast(x & 2147483647L as int)))")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "d", "root", "n", "bands", "sig", "short")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "d")
+    least = percent / 100
 
     def compare(group: pa.Table) -> pa.RecordBatch | None:
-        own, n = group["own"].to_numpy(), group["n"].to_numpy().astype(float)
-        root, d = np.array(group["root"].to_pylist(), object), np.array(group["d"].to_pylist(), object)
+        own, n, bucket = group["own"].to_numpy(), group["n"].to_numpy().astype(float), group["bucket"][0].as_py()
+        root, d = np.unique(np.array(group["root"].to_pylist(), object), return_inverse=True)[1], group["d"].to_pylist()
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(len(n), -1)
+        bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+        flat, at = group["short"].combine_chunks().flatten().to_numpy(), np.cumsum(np.concatenate([[0], n.astype(int)]))
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a_out, b_out = [], []
+        best: dict[tuple[int, int], list] = {}
         for x in left:
             y = right if i != j else right[right > x]
-            y = y[(root[y] != root[x]) & (np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]))]
-            y = y[(sig[y] == sig[x]).mean(1) >= threshold - SLACK]
-            a_out += [min(d[x], d[k]) for k in y]
-            b_out += [max(d[x], d[k]) for k in y]
-        return pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], ["a", "b"]) if a_out else None
+            y = y[(root[y] != root[x]) & (np.minimum(n[y], n[x]) >= least * np.maximum(n[y], n[x]))]
+            y = y[(sig[y] == sig[x]).mean(1) >= least - SLACK]
+            y = y[bands[x][(bands[y] == bands[x]).argmax(1)] == bucket]
+            sx = flat[at[x] : at[x + 1]]
+            for k in y:
+                sy = flat[at[k] : at[k + 1]]
+                both = int((sy[np.minimum(np.searchsorted(sy, sx), len(sy) - 1)] == sx).sum())
+                if both + 1 >= least * (n[x] + n[k] - both - 1):
+                    kept = best.setdefault((min(root[x], root[k]), max(root[x], root[k])), [])
+                    kept.append((-both / (n[x] + n[k] - both), min(d[x], d[k]), max(d[x], d[k])))
+                    kept.sort()
+                    del kept[4:]
+        pairs = [p for kept in best.values() for p in kept]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (1, 2)], ["a", "b"]) if pairs else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -213,17 +236,18 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     leaders = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("d").alias("p"), "d")).alias("leader")).where("size > 1")
     shared = common.materialize(placed.join(leaders.select("bucket", "size", F.col("leader.d").alias("leader")), "bucket").where("d != leader"), "shared")
     pairs = common.materialize(shared.select(F.least("d", "leader").alias("a"), F.greatest("d", "leader").alias("b")).distinct(), "pairs", narrow=True)
-    links = common.materialize(confirmed(pairs, source, classes, shingle, percent), "links", narrow=True)
+    sets = sets_of(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), source, classes, shingle)
+    links = common.materialize(confirmed(pairs, sets, percent), "links", narrow=True)
     roots = components(links)
 
     # classes that share a bucket beside its leader and are still apart
     rooted = shared.where("size > 2").select("bucket", "d").join(roots, F.col("d") == F.col("node"), "left").select("bucket", "d", F.coalesce("root", "d").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
-    sigs = rows.join(classes.select("d", "rk"), ["d", "rk"]).select("d", "n", "sig").dropDuplicates(["d"])
-    apart = _apart(rooted.join(mixed, "bucket").join(sigs, "d"), percent / 100)
-    more = common.materialize(apart.join(pairs, ["a", "b"], "left_anti"), "more", narrow=True)
+    sigs = rows.join(classes.select("d", "rk"), ["d", "rk"]).select("d", "n", "bands", "sig").dropDuplicates(["d"])
+    members = rooted.join(mixed, "bucket").join(sigs, "d").join(sets, "d")
+    more = common.materialize(_apart(members, percent), "more", narrow=True)
     if not more.isEmpty():
-        links = links.union(confirmed(more, source, classes, shingle, percent))
+        links = links.union(confirmed(more, sets, percent))
         roots = components(links)
 
     named = roots.join(classes.select(F.col("d").alias("node"), "min_id"), "node")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_model, media, mixing, nearcopies, neighbours, quality, suffixes, toxicity
+from . import language_model, media, mixing, nearcopies, neighbours, pieces, quality, suffixes, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_language_model": language_model.op3_language_model,
+    "op4_pieces": pieces.op4_pieces,
     "op5_near_copies": nearcopies.op5_near_copies,
     "op6_media": media.op6_media,
     "op7_quality": quality.op7_quality,
