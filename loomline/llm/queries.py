@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_model, media, mixing, nearcopies, neighbours, pieces, quality, suffixes, toxicity
+from . import language_model, licenses, media, mixing, nearcopies, neighbours, pieces, quality, suffixes, toxicity
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_mixing": mixing.op2_mixing,
     "op3_language_model": language_model.op3_language_model,
     "op4_pieces": pieces.op4_pieces,
