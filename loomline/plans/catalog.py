@@ -5,10 +5,375 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import text as tx
+from ..operators import alignment, chapters, exchange, extract, languages
+from ..sources import epub, logs
+from ..streaming import buckets
+from . import merge
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """User and assistant turns of the conversations that have both."""
+    turns = table(spark, sf_dir, "conversations")
+    a, b = extract.from_turns(turns, "user"), extract.from_turns(turns, "assistant")
+    return a.join(b.select("pair_id").distinct(), "pair_id", "left_semi"), b.join(a.select("pair_id").distinct(), "pair_id", "left_semi")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.from_lines(table(spark, sf_dir, "documents"))
+
+
+def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents of a source as one book."""
+    own = lines(spark, sf_dir)
+    order = W.partitionBy("source").orderBy(F.col("book").cast("long"), "seq")
+    return own.select(F.col("source").alias("book"), (F.row_number().over(order) - 1).alias("seq"), "tag", "frag", "lang")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["alignment_stats"](spark, sf_dir)
+
+
+# SQL shared by several queries
+
+def _esc(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _trim(x: str) -> str:
+    blank = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+    return f"regexp_replace({x}, '^{blank}+|{blank}+$', '', 'g')"
+
+
+def _plain(x: str) -> str:
+    return _trim(f"replace(replace(replace(replace(regexp_replace({x}, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')")
+
+
+_LINES = f"""raw as (select doc_id, lang, source, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from documents),
+lines as (select cast(doc_id as varchar) as book, doc_id, lang, source, cast(row_number() over (partition by doc_id order by line) - 1 as bigint) as seq, {_trim(_esc('t'))} as frag from raw where length({_trim(_esc('t'))}) > 0)"""
+_SOURCES = _LINES + ", books as (select source as book, cast(row_number() over (partition by source order by doc_id, seq) - 1 as bigint) as seq, frag, lang from lines)"
+_LEN = "length(regexp_replace(" + _esc("text") + ", '<[^>]+>', '', 'g'))"
+_ERF = "(case when {0} = 0 then 0.0 when {0} < 6 then exp(-{0} * {0}) * list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln({0}) - lgamma(k + 1.5)))) else 1.0 end)"
+_COST = "-100 * ln(greatest(2 * (1 - 0.5 * (1 + " + _ERF.format("({z} / sqrt(2.0))") + ")), 1e-30))"
+_Z = "(abs({x} - greatest({y} * c, 0)) / sqrt(case when {y} * c <= 0 then 1.0 else {y} * c end * 6.8))"
+_PAIRS = f"""sides as (select conv_id, list({_LEN} order by turn) filter (role = 'user') as la, list({_LEN} order by turn) filter (role = 'assistant') as lb from conversations group by conv_id),
+pairs as (select conv_id, la, lb, len(la) as n, len(lb) as m, list_sum(la)::double / list_sum(lb) as c from sides where la is not null and lb is not null)"""
+# every path through every lattice: the lattices of conversations are tiny
+_PATHS = f"""with recursive {_PAIRS},
+steps(di, dj, prior) as (values (1, 1, 0.89), (1, 0, 0.0099), (0, 1, 0.0099), (2, 1, 0.089), (1, 2, 0.089), (2, 2, 0.011)),
+paths as (
+  select conv_id, 0 as i, 0 as j, 0.0::double as cost, '' as path from pairs
+  union all
+  select conv_id, i + di, j + dj, cost + -100 * ln(prior) + case when di > 0 and dj > 0 then {_COST.format(z=_Z.format(x='x', y='y'))} else 0.55 * case when di > 0 then x else y * c end end, path || di || dj
+  from (
+    select p.conv_id, p.i, p.j, p.cost, p.path, s.di, s.dj, s.prior, q.c,
+      coalesce(list_sum(q.la[p.i + 1 : p.i + s.di]), 0)::double as x, coalesce(list_sum(q.lb[p.j + 1 : p.j + s.dj]), 0)::double as y
+    from paths p join pairs q using (conv_id) join steps s on p.i + s.di <= q.n and p.j + s.dj <= q.m
+  )
+),
+best as (select conv_id, arg_min(path, cost) as path from paths join pairs using (conv_id) where i = n and j = m group by conv_id),
+beads as (
+  select cast(conv_id as varchar) as pair_id, k as bead, cast(substr(path, 2 * k + 1, 1) as integer) as a_n, cast(substr(path, 2 * k + 2, 1) as integer) as b_n
+  from (select conv_id, path, unnest(range(0, length(path) // 2)) as k from best)
+)"""
+_STATS = """select pair_id, cast(sum(a_n) as bigint) as a, cast(sum(b_n) as bigint) as b, count(*) filter (a_n = 1 and b_n = 1) as n11,
+count(*) filter (a_n > 0 and b_n > 0 and not (a_n = 1 and b_n = 1)) as nxx, count(*) filter (a_n > 0 and b_n = 0) as a_only, count(*) filter (a_n = 0 and b_n > 0) as b_only from beads group by pair_id"""
+_PAGES = f"""bodies as (select page_id, string_split(html, '<body>')[2] as b from pages),
+found as (
+  select page_id, 'h1' as tag, unnest(regexp_extract_all(b, '<h1>(.*?)</h1>', 1, 's')) as t from bodies
+  union all select page_id, 'li', unnest(regexp_extract_all(b, '<li>(.*?)</li>', 1, 's')) from bodies
+  union all select page_id, 'p', string_split(string_split(x, '</p>')[1], '</article>')[1] from (select page_id, unnest(string_split(b, '<p>')[2:]) as x from bodies)
+),
+blocks as (select page_id, tag, {_plain('t')} as text from found where length({_plain('t')}) > 0)"""
+_ERRORS = "errors as (select event_id, epoch_us(ts) / 1e6 as at, ts, user_id, 'cannot open /srv/in/k' || json_extract_string(props, '$.k') || '/a.epub' as error from events where event_type = 'error')"
+
+
+@query("blocks_from_documents", f"with {_LINES} select book, seq, frag, lang from lines")
+def blocks_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("book", F.col("seq").cast("long").alias("seq"), "frag", "lang")
+
+
+@query("block_features", f"with {_LINES} select book, count(*) as blocks, cast(sum(length(frag)) as bigint) as chars, cast(max(length(frag)) as bigint) as longest, count(distinct frag) as different from lines group by book")
+def block_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length(tx.strip_tags("frag"))
+    return lines(spark, sf_dir).groupBy("book").agg(F.count("*").alias("blocks"), F.sum(n).alias("chars"), F.max(n).cast("long").alias("longest"), F.countDistinct("frag").alias("different"))
+
+
+@query("middle_line", f"with {_LINES} select book, cast(list_sort(list(length(frag)))[len(list(frag)) // 2 + 1] as bigint) as middle from lines group by book")
+def middle_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).groupBy("book").agg(tx.upper_median(F.collect_list(F.length("frag"))).cast("long").alias("middle"))
+
+
+@query("pair_ratio", f"with {_PAIRS} select cast(conv_id as varchar) as pair_id, cast(n as bigint) as n, cast(m as bigint) as m, round(c, 9) as ratio from pairs")
+def pair_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (x.groupBy("pair_id").agg(F.count("*").alias(n), F.sum(F.length(tx.strip_tags("frag"))).alias(f"l{n}")) for x, n in zip(sides(spark, sf_dir), "nm"))
+    chars = lambda c: F.when(F.col(c) == 0, 1).otherwise(F.col(c))
+    return a.join(b, "pair_id").select("pair_id", "n", "m", F.round(chars("ln") / chars("lm"), 9).alias("ratio"))
+
+
+@query("corridor_plan", f"with {_LINES}, n as (select source as book, count(*) filter (lang = 'en') as n, count(*) filter (lang = 'fr') as m from lines group by source) select book, n, m, cast(greatest(64, (8 * greatest(n, m)) // 100) as bigint) as band, cast(n * (2 * greatest(64, (8 * greatest(n, m)) // 100) + 1) as bigint) as cells, case when n * (2 * greatest(64, (8 * greatest(n, m)) // 100) + 1) > {alignment.CORRIDOR_BYTES} then 'too_big' else 'ok' end as status from n")
+def corridor_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lines(spark, sf_dir).groupBy(F.col("source").alias("book")).agg(F.count_if(F.col("lang") == "en").alias("n"), F.count_if(F.col("lang") == "fr").alias("m"))
+    band = F.greatest(F.lit(alignment.OPENING_BAND).cast("long"), F.expr("(8 * greatest(n, m)) div 100"))
+    n = n.withColumn("band", band).withColumn("cells", F.col("n") * (2 * F.col("band") + 1))
+    return n.withColumn("status", F.when(F.col("cells") > alignment.CORRIDOR_BYTES, "too_big").otherwise("ok"))
+
+
+@query("step_cost_11", f"with {_PAIRS}, z as (select conv_id, {_Z.format(x='la[1]', y='lb[1]')} as z from pairs) select cast(conv_id as varchar) as pair_id, round(-100 * ln(0.89) + {_COST.format(z='z')}, 3) as cost from z where z < 6")
+def step_cost_11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = sides(spark, sf_dir)
+    sums = [x.groupBy("pair_id").agg(F.sum(F.length(tx.strip_tags("frag"))).alias(f"t{s}"), F.min_by(F.length(tx.strip_tags("frag")), "seq").cast("double").alias(s)) for x, s in ((a, "x"), (b, "y"))]
+    rows = sums[0].join(sums[1], "pair_id").select("pair_id", "x", "y", (F.col("tx") / F.col("ty")).alias("ratio"))
+    mean = F.when(F.col("y") * F.col("ratio") <= 0, 1.0).otherwise(F.col("y") * F.col("ratio"))
+    near = rows.where(F.abs(F.col("x") - mean) / F.sqrt(mean * alignment.VARIANCE) < 6)
+    return alignment.step_costs(near).select("pair_id", F.round("cost", 3).alias("cost"))
+
+
+@query("align_conversations", _PATHS + " select pair_id, cast(bead as integer) as bead, a_n, b_n from beads")
+def align_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(*sides(spark, sf_dir), confidence=False).select("pair_id", "bead", "a_n", "b_n")
+
+
+@query("path_points", _PATHS + " select pair_id, cast(bead as integer) as bead, cast(sum(a_n) over w as bigint) as i, cast(sum(b_n) over w as bigint) as j from beads window w as (partition by pair_id order by bead)")
+def path_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upto = W.partitionBy("pair_id").orderBy("bead")
+    return align_conversations(spark, sf_dir).select("pair_id", "bead", F.sum("a_n").over(upto).alias("i"), F.sum("b_n").over(upto).alias("j"))
+
+
+@query("alignment_stats", _PATHS + " " + _STATS)
+def alignment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chapters.statistics(align_conversations(spark, sf_dir), "pair_id").drop("unsure")
+
+
+@query("clean_ratio", _PATHS + f", s as ({_STATS}) select pair_id, round(100.0 * n11 / (n11 + nxx + a_only + b_only), 6) as clean from s")
+def clean_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chapters.clean_ratio(alignment_stats(spark, sf_dir)).select("pair_id", F.round("clean", 6).alias("clean"))
+
+
+@query("doubtful_beads")
+def doubtful_beads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.doubtful(alignment.align(*sides(spark, sf_dir))).select("pair_id", "bead", "a_n", "b_n", F.round("margin", 4).alias("margin"), "doubtful")
+
+
+@query("align_sources_en_fr")
+def align_sources_en_fr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = by_source(spark, sf_dir)
+    a, b = (books.where(F.col("lang") == x).select(F.col("book").alias("pair_id"), (F.row_number().over(W.partitionBy("book").orderBy("seq")) - 1).alias("seq"), "tag", "frag") for x in ("en", "fr"))
+    beads = alignment.doubtful(alignment.align(a, b))
+    return chapters.statistics(beads, "pair_id", "band", "attempts")
+
+
+@query("merged_chapters")
+def merged_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = sides(spark, sf_dir)
+    beads = merge.merged(a, b)
+    return merge.rendered(beads, a, b, "user", "assistant").join(merge.statistics(beads), ["pair_id", "chapter"])
+
+
+@query("remerged_sources")
+def remerged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chapters.statistics(languages.remerge(by_source(spark, sf_dir), confidence=False), "pair_id")
+
+
+@query("page_blocks", f"with {_PAGES} select cast(page_id as varchar) as book, tag, text from blocks")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.from_pages(table(spark, sf_dir, "pages")).select("book", "tag", tx.plain_text("frag").alias("text"))
+
+
+@query("page_languages", "select cast(page_id as varchar) as book, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) as lang from pages")
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.from_pages(table(spark, sf_dir, "pages")).groupBy("book").agg(F.min(tx.language("lang")).alias("lang"))
+
+
+@query("strip_tags_pages", "select page_id, cast(length(regexp_replace(html, '<[^>]+>', '', 'g')) as bigint) as chars from pages")
+def strip_tags_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.length(tx.strip_tags("html")).cast("long").alias("chars"))
+
+
+@query("heading_levels", f"with {_PAGES} select cast(page_id as varchar) as book, cast(substr(tag, 2) as integer) as hlevel, count(*) as n from blocks where regexp_matches(tag, '^h[0-9]$') group by all")
+def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.from_pages(table(spark, sf_dir, "pages")).groupBy("book", tx.heading_level("tag").alias("hlevel")).agg(F.count("*").alias("n")).where("hlevel is not null")
+
+
+@query("chapter_level", f"with {_PAGES}, n as (select page_id, cast(substr(tag, 2) as integer) as l, count(*) as n from blocks where regexp_matches(tag, '^h[0-9]$') group by all), p as (select distinct page_id from blocks) select cast(p.page_id as varchar) as book, coalesce(min(l) filter (n > 1), min(l)) as level from p left join n using (page_id) group by p.page_id")
+def chapter_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chapters.level(extract.from_pages(table(spark, sf_dir, "pages")), "book")
+
+
+_HEADED = "heads as (select book, seq, frag, case when length(frag) < 40 then 'h2' else 'p' end as tag from lines)"
+
+
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with the short ones as headings: documents have none of their own."""
+    return lines(spark, sf_dir).withColumn("tag", F.when(F.length("frag") < 40, "h2").otherwise("p"))
+
+
+@query("chapter_cuts", f"with {_LINES}, {_HEADED}, c as (select book, seq, sum(case when tag = 'h2' then 1 else 0 end) over (partition by book order by seq) as k from heads) select book, seq, dense_rank() over (partition by book order by k) as chapter from c")
+def chapter_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chapters.of_blocks(headed(spark, sf_dir), "book").select("book", F.col("seq").cast("long").alias("seq"), F.col("chapter").cast("long").alias("chapter"))
+
+
+@query("chapter_titles", f"with {_LINES}, {_HEADED}, c as (select book, seq, frag, tag, sum(case when tag = 'h2' then 1 else 0 end) over (partition by book order by seq) as k from heads), d as (select *, dense_rank() over (partition by book order by k) as chapter from c) select book, chapter, format('ch{{:03d}}', chapter) as cid, coalesce(nullif(arg_min(case when tag = 'h2' then frag else '' end, seq), ''), 'Chapter ' || chapter) as title, count(*) as blocks from d group by book, chapter")
+def chapter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = chapters.titles(chapters.of_blocks(headed(spark, sf_dir), "book"), "book")
+    return own.select("book", F.col("chapter").cast("long").alias("chapter"), tx.chapter_id("chapter").alias("cid"), tx.chapter_title("title", "chapter").alias("title"), "blocks")
+
+
+@query("lang_order", f"with {_SOURCES}, f as (select book, coalesce(nullif(lang, ''), 'und') as lang, min(seq) as s, count(*) as blocks from books group by all) select book, lang, row_number() over (partition by book order by s, lang) - 1 as rank, blocks from f")
+def lang_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.order(by_source(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("split_by_lang", f"with {_SOURCES} select book, lang, cast(row_number() over (partition by book, lang order by seq) - 1 as bigint) as seq, frag from books where lang in ('en', 'de')")
+def split_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.split(by_source(spark, sf_dir), ["en", "de", "tlh"]).select("book", "lang", F.col("seq").cast("long").alias("seq"), "frag")
+
+
+@query("remerge_langs", f"with {_SOURCES}, l as (select book, list_sort(list(distinct lang)) as l from books group by book) select book, l[1] as lang_a, l[2] as lang_b, case when len(l) > 1 then 'ok' else 'one_language' end as status from l")
+def remerge_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.pair_of(by_source(spark, sf_dir))
+
+
+_EXPORT = f"x as (select book, seq as i, {_plain('frag')} as text from lines)"
+
+
+@query("export_blocks", f"with {_LINES}, {_EXPORT} select book, i, 'p' as tag, text from x")
+def export_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchange.export(lines(spark, sf_dir)).withColumn("i", F.col("i").cast("long"))
+
+
+@query("estimate_requests", f"with {_LINES}, {_EXPORT} select book, count(*) as blocks, cast(sum(length(text)) as bigint) as chars, (count(*) + 19) // 20 as requests from x group by book")
+def estimate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchange.estimate(exchange.export(lines(spark, sf_dir)))
+
+
+@query("translation_todo", f"with {_LINES}, {_EXPORT} select book, i, (row_number() over (partition by book order by i) - 1) // 20 as batch from x where i % 3 <> 0")
+def translation_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = exchange.export(lines(spark, sf_dir))
+    return exchange.todo(own, own.where("i % 3 = 0")).select("book", F.col("i").cast("long").alias("i"), F.col("batch").cast("long").alias("batch"))
+
+
+@query("validate_translation", f"with {_LINES}, {_EXPORT}, g as (select book, i, case when i % 7 = 5 then '' else text end as text from x where not (cast(book as bigint) % 3 = 0 and i = 0)) select x.book, count(*) as want, count(g.i) as got, case when count(*) <> count(g.i) then 'wrong_count' when count(*) filter (g.text = '') > 0 then 'empty_items' else 'ok' end as status from x left join g using (book, i) group by x.book")
+def validate_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = exchange.export(lines(spark, sf_dir))
+    got = own.where(~((F.col("book").cast("long") % 3 == 0) & (F.col("i") == 0))).withColumn("text", F.when(F.col("i") % 7 == 5, "").otherwise(F.col("text")))
+    return exchange.validate(own, got).select("book", "want", "got", "status")
+
+
+@query("translated_blocks", f"with {_LINES}, {_EXPORT} select book, i, '[' || text || ']' as text, 'done' as status from x where i % 2 = 0")
+def translated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import json
+
+    own = exchange.export(lines(spark, sf_dir))
+    done = exchange.translate(own, lambda texts: json.dumps([f"[{t}]" for t in texts]), own.where("i % 2 = 1"))
+    return done.withColumn("i", F.col("i").cast("long"))
+
+
+@query("epub_round_trip")
+def epub_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books written from the sources' documents, a chapter for each, and read again."""
+    docs = table(spark, sf_dir, "documents")
+    own = lines(spark, sf_dir).groupBy("source", "book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "frag"))), lambda x: F.concat(F.lit("<p>"), x["frag"], F.lit("</p>"))), "\n").alias("body"))
+    parts = own.select(F.col("source").alias("book"), F.col("book").cast("long").alias("chapter"), F.concat(F.lit("Document "), "book").alias("title"), "body")
+    books = docs.select(F.col("source").alias("book")).distinct().select("book", F.col("book").alias("title"), F.array(F.lit("nobody")).alias("creators"), F.array(F.lit("en")).alias("languages"), F.lit(None).cast("binary").alias("cover"), F.lit(None).cast("string").alias("cover_type"))
+    read = epub.packages(epub.written(parts, books).select(F.col("book").alias("path"), "content"))
+    return epub.blocks(read).groupBy("book").agg(F.count("*").alias("blocks"), F.sum(F.length("frag")).alias("chars"))
+
+
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "events").where("event_type = 'error'")
+    k = F.get_json_object("props", "$.k")
+    return own.select("event_id", "ts", "user_id", F.concat(F.lit("cannot open /srv/in/k"), k, F.lit("/a.epub")).alias("error"), k.alias("k"))
+
+
+@query("failure_digest", f"with {_ERRORS} select 'cannot open <file>' as reason, count(*) as n, min(event_id) as first from errors having count(*) > 0")
+def failure_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.reasons(errors(spark, sf_dir), "event_id")
+
+
+@query("failures_by_kind", "select 'kind ' || json_extract_string(props, '$.k') as reason, count(*) as n, min(event_id) as first from events where event_type = 'error' group by 1")
+def failures_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.reasons(errors(spark, sf_dir).withColumn("error", F.concat(F.lit("kind "), "k")), "event_id")
+
+
+@query("failure_since", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') as at from events where event_type = 'error' and ts >= timestamp '2024-01-31' - interval 7 day")
+def failure_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    since = tx.cutoff("7d", F.to_timestamp(F.lit("2024-01-31 00:00:00")))
+    return errors(spark, sf_dir).where(F.col("ts") >= since).select("event_id", tx.iso_utc("ts").alias("at"))
+
+
+@query("reports_open", "select count(*) filter (event_id % 3 <> 0) as reports_open, count(*) filter (event_id % 3 <> 0 and event_id % 2 = 0) as reports_awaiting_reply, count(*) as failures from events where event_type = 'error'")
+def reports_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = errors(spark, sf_dir)
+    reports = own.select(F.col("event_id").cast("string").alias("id"), F.when(F.col("event_id") % 3 == 0, tx.iso_utc("ts")).alias("resolved_at"), F.when(F.col("event_id") % 2 == 0, F.lit("a@b.example")).alias("notify"))
+    return logs.digest(own.withColumn("at", tx.iso_utc("ts")), reports).select("reports_open", "reports_awaiting_reply", "failures")
+
+
+@query("failures_per_day", "select date_trunc('day', ts)::timestamp as start, 'error' as endpoint, count(*) as failures from events where event_type = 'error' group by 1")
+def failures_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.failure_windows(errors(spark, sf_dir).select(F.col("ts").alias("at_ts"), F.lit("error").alias("endpoint")))
+
+
+_SCRUB = r"""select page_id, regexp_replace(regexp_replace('failed at /srv/books/' || page_id || '/x of ' || url, '(?i)/[^\s''":]*(?:[ \t][^\s''":]+)*\.(?:epub|zip|xhtml|html|htm|opf|ncx|jpe?g|png|gif|css|ttf|otf|txt|json)\b', '<file>', 'g'), '(?:/[^\s''"/]+){2,}/?', '<path>', 'g') as error from pages"""
+
+
+@query("scrub_paths", _SCRUB)
+def scrub_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", tx.scrubbed(F.concat(F.lit("failed at /srv/books/"), F.col("page_id").cast("string"), F.lit("/x of "), "url")).alias("error"))
+
+
+@query("anon_names", r"select page_id, 'OEBPS/' || left(regexp_replace(regexp_replace('Chapter ' || page_id || 'b', '\p{Nd}+', '#', 'g'), '[\p{L}\p{Nl}\p{No}]+', 'x', 'g'), 32) || '.xhtml' as name from pages")
+def anon_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("OEBPS/Chapter "), F.col("page_id").cast("string"), F.lit("b.xhtml"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.anonymous_name(name).alias("name"))
+
+
+@query("slugs", r"select page_id, regexp_replace(url, '[^\pL\p{Nd}_.-]+', '_', 'g') as slug from pages")
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", tx.slug("url").alias("slug"))
+
+
+@query("token_bucket", """with recursive e as (select cast(user_id as varchar) as key, epoch_us(ts) / 1e6 as tm, event_id as id, row_number() over (partition by user_id order by epoch_us(ts) / 1e6, event_id) as rn from events),
+r as (
+  select key, tm, id, rn, true as admitted, 3.0::double as tokens from e where rn = 1
+  union all
+  select key, tm, id, rn, t >= 1, case when t >= 1 then t - 1 else t end
+  from (select e.key, e.tm, e.id, e.rn, case when e.tm - r.tm > 3600 then 4.0 else least(4.0, r.tokens + (e.tm - r.tm) * (12.0::double / 300.0::double)) end as t from r join e on e.key = r.key and e.rn = r.rn + 1)
+)
+select key, id, admitted from r""")
+def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("id"))
+    return buckets.token_bucket(own).select("key", "id", "admitted")
+
+
+@query("session_ttl", "with g as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) > 1800000000 then 1 else 0 end as new from events), s as (select *, sum(new) over (partition by user_id order by ts, event_id) as session from g) select user_id, cast(session as bigint) as session, count(*) as events, min(event_id) as first from s group by all")
+def session_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = buckets.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts")
+    return own.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("event_id").alias("first"))
+
+
+@query("session_quota", "select source as session, doc_id as seq, count(*) over w <= 40 and sum(n_chars) over w <= 60000 as accepted from documents window w as (partition by source order by doc_id rows unbounded preceding)")
+def session_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.col("source").alias("session"), F.col("doc_id").alias("seq"), F.col("n_chars").alias("bytes"))
+    return buckets.quota(files, max_bytes=60_000).drop("bytes")
