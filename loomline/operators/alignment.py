@@ -184,7 +184,7 @@ def align(a: DataFrame, b: DataFrame, ceiling: int = CORRIDOR_BYTES, confidence:
     """
 
     def narrow(df: DataFrame) -> DataFrame:
-        return df.select(F.col("pair_id").cast("string").alias("pair_id"), "seq", F.length(tx.strip_tags("frag")).alias("len"), tx.is_heading("tag").alias("head"))
+        return df.select(F.col("pair_id").cast("string").alias("pair_id"), F.col("seq").cast("int").alias("seq"), F.length(tx.strip_tags("frag")).alias("len"), tx.is_heading("tag").alias("head"))
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("seq"), right.sort_values("seq")
