@@ -29,6 +29,7 @@ ENTRY = np.dtype([("m", "<u8"), ("c", "<u8"), ("key", "<i8"), ("s", "<u4"), ("n"
 REPEATED, CONTESTED, KNOWN = 1, 2, 4
 #: Kinds of spans: found to be repeated; to be looked at window by window; its windows are repeated and stand for others.
 FOUND, OPEN, WITNESS = 0, 1, 2
+RECORD = np.dtype([("key", "<i8"), ("kind", "<u4"), ("s", "<u4"), ("n", "<u4")])
 SPAN = np.dtype([("kind", "<u4"), ("s", "<u4"), ("n", "<u4")])
 POSITION = np.uint64((1 << 28) - 1)
 #: Rows and bytes up to which the documents found are sent to all tasks instead of being joined by a shuffle.
@@ -96,74 +97,130 @@ def _combined(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e, e
 
 
-class Family:
-    """Levels of sorted entries, each at least twice as long as the next."""
+class Level:
+    """Sorted entries, and their (m, c) in the order of one number for both."""
 
-    def __init__(self) -> None:
-        self.levels: list[np.ndarray] = []
+    def __init__(self, e: np.ndarray) -> None:
+        self.e = e[np.lexsort((e["c"], e["m"]))]
+        self.m = np.ascontiguousarray(self.e["m"])
+        own = _identity(self.e)
+        self.order = np.argsort(own)
+        self.ids = own[self.order]
 
-    @staticmethod
-    def _between(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-        d = np.zeros(n + 1, np.int64)
-        np.add.at(d, starts, 1)
-        np.add.at(d, ends, -1)
-        return np.cumsum(d[:-1]) > 0
-
-    def add(self, batch: np.ndarray) -> None:
-        batch = batch[np.lexsort((batch["c"], batch["m"]))]
-        batch = self._scan_self(batch)
+
+def _between(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    d = np.zeros(n + 1, np.int64)
+    np.add.at(d, starts, 1)
+    np.add.at(d, ends, -1)
+    return np.flatnonzero(np.cumsum(d[:-1]))
+
+
+class Family:
+    """Levels of sorted entries, each at least twice as long as the next. What comes in small parts is held until it is worth a level."""
+
+    def __init__(self, least: int = 50_000) -> None:
+        self.levels: list[Level] = []
+        self.held: list[np.ndarray] = []
+        self.least = least
+
+    def add(self, entries: np.ndarray) -> None:
+        self.held.append(entries)
+        if sum(map(len, self.held)) >= self.least:
+            self._close()
+
+    def _close(self) -> None:
+        if not self.held:
+            return
+        batch = self._scan_self(np.concatenate(self.held))
+        self.held = []
         for level in self.levels:
             batch = self._scan(batch, level)
-        self.levels.append(batch)
-        while len(self.levels) > 1 and 2 * len(self.levels[-1]) >= len(self.levels[-2]):
-            both = np.concatenate([self.levels.pop(), self.levels.pop()])
-            self.levels.append(both[np.lexsort((both["c"], both["m"]))])
+        self.levels.append(Level(batch))
+        while len(self.levels) > 1 and 2 * len(self.levels[-1].e) >= len(self.levels[-2].e):
+            self.levels.append(Level(np.concatenate([self.levels.pop().e, self.levels.pop().e])))
 
     @staticmethod
     def _scan_self(b: np.ndarray) -> np.ndarray:
+        """Sorted, with marks on what its parts have in common; of entries for one document and place one stays."""
+        b = b[np.lexsort((b["s"], b["key"], b["c"], b["m"]))]
         if len(b) > 1:
             same_m = b["m"][1:] == b["m"][:-1]
-            other_c = same_m & (b["c"][1:] != b["c"][:-1])
-            first = np.concatenate([[True], ~same_m])
-            group = np.cumsum(first) - 1
-            contested = np.bincount(group, np.concatenate([[False], other_c])) > 0
-            b["flag"] |= np.where(contested[group], CONTESTED, 0).astype(np.uint8)
+            same = same_m & (b["c"][1:] == b["c"][:-1])
+            again = same & (b["key"][1:] == b["key"][:-1]) & (b["s"][1:] == b["s"][:-1])
+            by_m, by_c = np.cumsum(np.concatenate([[True], ~same_m])) - 1, np.cumsum(np.concatenate([[True], ~same])) - 1
+            contested = np.bincount(by_m, np.concatenate([[False], same_m & ~same])) > 0
+            repeated = np.bincount(by_c, np.concatenate([[False], same & ~again])) > 0
+            # what is known of one entry is known of its copies
+            place = np.cumsum(np.concatenate([[True], ~again])) - 1
+            known = np.bincount(place, (b["flag"] & KNOWN) > 0) > 0
+            flags = np.where(contested[by_m], CONTESTED, 0) | np.where(repeated[by_c], REPEATED, 0) | np.where(known[place], KNOWN | REPEATED, 0)
+            b["flag"] |= flags.astype(np.uint8)
+            b = b[np.concatenate([[True], ~again])]
         return b
 
-    def _scan(self, batch: np.ndarray, level: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _scan(batch: np.ndarray, level: Level) -> np.ndarray:
         """Marks what batch and level have in common, in both; entries of batch that level has itself (same document and place) go."""
-        lo, hi = np.searchsorted(level["m"], batch["m"]), np.searchsorted(level["m"], batch["m"], "right")
-        own, theirs = _identity(batch), _identity(level)
-        order = np.argsort(theirs, kind="stable")
-        theirs = theirs[order]
-        glo, ghi = np.searchsorted(theirs, own), np.searchsorted(theirs, own, "right")
-        some = ghi > glo
-        at = order[np.minimum(glo, len(order) - 1)] if len(order) else glo
-        itself = some & (level["key"][at] == batch["key"]) & (level["s"][at] == batch["s"]) if len(order) else some
-        drop = itself & (ghi - glo == 1)
-        match = some & ~drop
-        marked = self._between(glo[match], ghi[match], len(level))
-        level["flag"][order[marked]] |= REPEATED
-        level["flag"][at[drop]] |= batch["flag"][drop]
-        batch["flag"][match] |= REPEATED
-        contested = hi - lo > ghi - glo
-        batch["flag"][contested] |= CONTESTED
-        level["flag"][self._between(lo[contested], hi[contested], len(level))] |= CONTESTED
-        return batch[~drop]
+        e = level.e
+        if not len(e) or not len(batch):
+            return batch
+        m = np.ascontiguousarray(batch["m"])
+        lo, hi = np.searchsorted(level.m, m), np.searchsorted(level.m, m, "right")
+        near = np.flatnonzero(hi > lo)  # the rest has nothing in common with level
+        own = _identity(batch[near])
+        glo, ghi = np.searchsorted(level.ids, own), np.searchsorted(level.ids, own, "right")
+        at = level.order[np.minimum(glo, len(e) - 1)]
+        itself = (ghi - glo == 1) & (e["key"][at] == batch["key"][near]) & (e["s"][at] == batch["s"][near])
+        match = (ghi > glo) & ~itself
+        e["flag"][level.order[_between(glo[match], ghi[match], len(e))]] |= REPEATED
+        e["flag"][at[itself]] |= batch["flag"][near[itself]]
+        batch["flag"][near[match]] |= REPEATED
+        contested = (hi - lo)[near] > ghi - glo
+        batch["flag"][near[contested]] |= CONTESTED
+        e["flag"][_between(lo[near[contested]], hi[near[contested]], len(e))] |= CONTESTED
+        stay = np.ones(len(batch), bool)
+        stay[near[itself]] = False
+        return batch[stay]
 
     def result(self) -> np.ndarray:
-        e = np.concatenate([np.zeros(0, ENTRY), *self.levels])
+        self._close()
+        e = np.concatenate([np.zeros(0, ENTRY), *(x.e for x in self.levels)])
         return e[np.lexsort((e["c"], e["m"]))]
 
 
-def _spans(e: np.ndarray, kind: np.ndarray | int) -> tuple[list[int], list[bytes]]:
-    """The spans of each document, packed."""
-    out = np.zeros(len(e), SPAN)
-    out["kind"], out["s"], out["n"] = kind, e["s"], e["n"]
-    order = np.lexsort((e["s"], e["key"]))
-    keys, out = e["key"][order], out[order]
-    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys[cut].tolist(), [x.tobytes() for x in np.split(out, cut[1:])] if len(cut) else []
+def _records(e: np.ndarray, kind: np.ndarray | int, buckets: int) -> pa.RecordBatch:
+    """Results packed by bucket of their documents, so that there are few rows however many documents and tasks there are."""
+    out = np.zeros(len(e), RECORD)
+    out["key"], out["kind"], out["s"], out["n"] = e["key"], kind, e["s"], e["n"]
+    to = e["key"] % buckets
+    order = np.argsort(to, kind="stable")
+    out, to = out[order], to[order]
+    cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
+    return pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int64()), pa.array([x.tobytes() for x in np.split(out, cut[1:])] if len(cut) else [], pa.binary())], ["bucket", "data"])
+
+
+def _by_document(found: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
+    """key, packed: SPAN records of each document that has one of the kinds; spans of kind FOUND that touch are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(x, RECORD) for batch in batches for x in batch.column(1).to_pylist()]
+        r = np.concatenate([np.zeros(0, RECORD), *held])
+        r = r[np.isin(r["kind"], kinds)]
+        r = r[np.lexsort((r["s"], r["kind"], r["key"]))]
+        if not len(r):
+            return
+        joins = (r["kind"][1:] == FOUND) & (r["kind"][:-1] == FOUND) & (r["key"][1:] == r["key"][:-1]) & (r["s"][1:] <= r["s"][:-1] + r["n"][:-1])
+        first = np.flatnonzero(np.concatenate([[True], ~joins]))
+        out = np.zeros(len(first), SPAN)
+        out["kind"], out["s"] = r["kind"][first], r["s"][first]
+        out["n"] = np.maximum.reduceat(r["s"] + r["n"], first) - out["s"]
+        keys = r["key"][first]
+        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        packed = [x.tobytes() for x in np.split(out, cut[1:])]
+        for b in range(0, len(cut), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[cut[b : b + 4096]]), pa.array(packed[b : b + 4096], pa.binary())], ["key", "packed"])
+
+    return found.repartition(common.parts(found.sparkSession), "bucket").mapInArrow(run, "key long, packed binary")
 
 
 def _outcome(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +240,7 @@ def _outcome(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _indexed(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.ndarray]], label: str) -> DataFrame:
-    """key, spans: what the families have found. rows go through entries() task by task; its entries are dealt by fingerprint, results by document."""
+    """bucket, data: RECORDs of what the families have found. rows go through entries() task by task; its entries are dealt by fingerprint, results by document."""
     spark = rows.sparkSession
     buckets = 4 * common.parts(spark)
 
@@ -196,26 +253,25 @@ def _indexed(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.nd
         kept, to = kept[order], to[order]
         cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
         if len(cut):
-            yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int64()), pa.nulls(len(cut), pa.int64()), pa.array([x.tobytes() for x in np.split(kept, cut[1:])], pa.binary())], ["bucket", "key", "data"])
-        keys, spans = _spans(found, FOUND)
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array([k % buckets for k in keys], pa.int64()), pa.array(keys, pa.int64()), pa.array(spans, pa.binary())], ["bucket", "key", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int64()), pa.array([False] * len(cut)), pa.array([x.tobytes() for x in np.split(kept, cut[1:])], pa.binary())], ["bucket", "result", "data"])
+        done = _records(found, FOUND, buckets)
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays([done.column(0), pa.array([True] * done.num_rows), done.column(1)], ["bucket", "result", "data"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family()
         for batch in batches:
-            direct = batch.filter(pc.is_valid(batch.column(1)))
+            direct = batch.filter(batch.column(1))
             if direct.num_rows:
-                yield pa.RecordBatch.from_arrays([direct.column(1), direct.column(2)], ["key", "spans"])
-            new = [np.frombuffer(x, ENTRY) for x, k in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()) if k is None]
-            for e in new:
-                family.add(e.copy())
-        keys, spans = _spans(*_outcome(family.result()))
-        for b in range(0, len(keys), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[b : b + 4096], pa.int64()), pa.array(spans[b : b + 4096], pa.binary())], ["key", "spans"])
+                yield pa.RecordBatch.from_arrays([direct.column(0), direct.column(2)], ["bucket", "data"])
+            for x in batch.filter(pc.invert(batch.column(1))).column(2).to_pylist():
+                family.add(np.frombuffer(x, ENTRY))
+        out = _records(*_outcome(family.result()), buckets)
+        if out.num_rows:
+            yield out
 
-    sent = rows.mapInArrow(send, "bucket long, key long, data binary").repartition(common.parts(spark), "bucket")
-    return common.materialize(sent.mapInArrow(index, "key long, spans binary"), label)
+    sent = rows.mapInArrow(send, "bucket long, result boolean, data binary").repartition(common.parts(spark), "bucket")
+    return common.materialize(sent.mapInArrow(index, "bucket long, data binary"), label)
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
@@ -228,9 +284,6 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, SPAN)
 
 
-_PACK = "aggregate(collect_list(spans), x'', (a, x) -> concat(a, x))"
-
-
 def repeats(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame:
     """key, packed, copies: for each text that has repeated windows their starts (SPAN records of kind FOUND); copies is how many rows have the text.
 
@@ -239,14 +292,12 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame
     source = docs.select(F.xxhash64(F.col(text).cast("string")).alias("key"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= length)
 
     def run_entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in common.pieces(batch, "text", 1 << 20):
+        for part in common.pieces(batch, "text", 1 << 19):
             data, at = common.text_buffer(part.column(1))
             yield runs(data, at, part.column(0).to_numpy(), length)
 
     first = _indexed(source, run_entries, "runs")
-    # the flag that a document has spans to look at needs only the kinds: the first of each 12 bytes
-    ask = first.where(F.expr(f"exists(sequence(0, length(spans) div {SPAN.itemsize} - 1), i -> substring(spans, i * {SPAN.itemsize} + 1, 1) != x'00')"))
-    asked = common.materialize(ask.groupBy("key").agg(F.expr(_PACK).alias("packed")), "asked")
+    asked = common.materialize(_by_document(first, (OPEN, WITNESS)), "asked")
 
     def window_entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in common.pieces(batch, "text", 1 << 19):
@@ -254,7 +305,6 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame
             sums = common.prefix_sums(data)
             for key, b, packed in zip(part.column(0).to_pylist(), at, part.column(2).to_pylist()):
                 p = _unpack(packed)
-                p = p[p["kind"] != FOUND]
                 n = p["n"].astype(np.int64)
                 s = np.repeat(p["s"].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 e = np.zeros(len(s), ENTRY)
@@ -263,7 +313,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame
                 yield e
 
     second = _indexed(_with_spans(source, asked, "inner").select("key", "text", "packed"), window_entries, "windows")
-    found = first.union(second).groupBy("key").agg(F.expr(_PACK).alias("packed"))
+    found = _by_document(first.union(second), (FOUND,))
     copies = source.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
     return common.materialize(found.join(copies, "key", "full"), "spans")
 
@@ -275,41 +325,52 @@ def covered(n_bytes: int, packed: bytes | None, copies: int | None, length: int)
     d = np.zeros(n_bytes + 1, np.int32)
     if packed:
         p = _unpack(packed)
-        p = p[p["kind"] == FOUND]
         np.add.at(d, p["s"], 1)
         np.add.at(d, p["s"].astype(np.int64) + p["n"] + length - 1, -1)
     return np.cumsum(d[:-1]) > 0
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 400) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 400, payload: bool = False) -> DataFrame:
     """Removes each byte that a string of `length` bytes covers which also begins elsewhere, in this document or another.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, and row and kept: a struct of docs' columns and the rest of the text, whose bytes are as the removal
-    left them. A null text is empty. Rows that repeat are copies of each other, so all their text goes (if it is long enough). Columns are kept in row, so no
-    name can clash. An empty table gives no rows.
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; payload=True adds row, a struct of docs' columns but the text, and kept, the rest of the text, where a
+    character that a removal cut is dropped (the digest is of all bytes kept). A null text is empty. Rows that repeat are copies of each other, so all their text
+    goes (if it is long enough). Columns are kept in row, so no name can clash. An empty table gives no rows.
     """
     common.tune(docs.sparkSession)
     spans = repeats(docs, text, length)
-    source = docs.select(F.xxhash64(F.col(text).cast("string")).alias("key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
-    both = _with_spans(source, spans, "left").select("doc_id", "row", "text", "packed", "copies")
+    source = docs.select(F.xxhash64(F.col(text).cast("string")).alias("key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")] * payload)
+    both = _with_spans(source, spans, "left").select("doc_id", "text", "packed", "copies", *["row"] * payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = common.text_buffer(batch.column(2))
-            n, removed, spans_, sha, kept = np.diff(at), [], [], [], []
-            for b, e, packed, copies in zip(at[:-1], at[1:], batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            data, at = common.text_buffer(batch.column(1))
+            n, removed, runs_, sha, kept = np.diff(at), [], [], [], []
+            for b, e, packed, copies in zip(at[:-1], at[1:], batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 gone = covered(int(e - b), packed, copies, length) if packed or copies else None
-                left = data[b:e] if gone is None else data[b:e][~gone]
+                left = (data[b:e] if gone is None else data[b:e][~gone]).tobytes()
                 removed.append(0 if gone is None else int(gone.sum()))
-                spans_.append(0 if gone is None or not len(gone) else int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])))
-                kept.append(left.tobytes())
-                sha.append(hashlib.sha256(kept[-1]).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    schema = both.select("doc_id", "row", *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.lit("").alias("kept_sha256"), F.encode(F.lit(""), "UTF-8").alias("kept")).schema
+                runs_.append(0 if gone is None or not len(gone) else int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])))
+                sha.append(hashlib.sha256(left).hexdigest())
+                if payload:
+                    kept.append(whole_characters(data[b:e], gone))
+            out = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs_, pa.int64()), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays([*out, *([batch.column(4), pa.array(kept, pa.string())] if payload else [])], schema.names)
+
+    figures = [F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")]
+    schema = both.select("doc_id", *figures, F.lit("").alias("kept_sha256"), *(["row", F.lit("").alias("kept")] if payload else [])).schema
     return both.mapInArrow(run, schema)
 
 
+def whole_characters(text: np.ndarray, gone: np.ndarray | None) -> str:
+    """What is left of a text without characters of which only some bytes are."""
+    if gone is not None and len(text):
+        char = np.cumsum((text & 0xC0) != 0x80) - 1
+        cut = np.bincount(char, gone) > 0
+        text = text[~cut[char]]
+    return text.tobytes().decode()
+
+
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     return deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
