@@ -15,6 +15,8 @@ from . import common
 
 #: 2**32 / golden ratio, made odd: multiples of it modulo 2**32 are the golden-ratio points.
 PHI32 = 2654435769
+#: Rows of under 100 bytes up to which the documents' takes are sent to all tasks instead of being joined by a shuffle.
+SEND_ROWS = 300_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -78,8 +80,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     """
     spark = docs.sparkSession
     cols = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), common.n_words(F.col(text)).alias("size")]
-    sized = docs.select(*cols, *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * payload)
-    sized = common.materialize(sized, "sized", narrow=not payload)
+    sized = common.materialize(docs.select(*cols), "sized", narrow=True)
+    rowed = docs.select(*cols, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if payload else sized
     plan = common.materialize(targets(sized.select("source", "size"), weights, share, most).coalesce(1), "targets")
     words, rows = plan.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0], sized.count()
     block = max(block_words, int(words // (1 << 30)) + 1)
@@ -99,7 +101,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     by_block = by_block.groupBy("source_no", "block").agg(F.array_agg(F.struct("pass", "words")).alias("uses"))
 
     groups = max(1, min(1 << 20, rows // 256))
-    hashed = sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("group", F.expr(f"shiftright(shiftrightunsigned(h, 34) * {groups}L, 30)"))
+    hashed = rowed.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("group", F.expr(f"shiftright(shiftrightunsigned(h, 34) * {groups}L, 30)"))
     hashed = hashed.join(plan.select(F.col("source").alias("_source"), "source_no", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     laid = _running(hashed, "source_no", "group", ["h", "doc_id", "size"], F.col("size"), "offset")
     laid = laid.withColumn("uid", F.when(F.col("size") > 0, F.struct("source_no", "offset", "doc_id", "size")))  # offsets of documents that have words differ
@@ -113,6 +115,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     kept = ["doc_id", "size", "source_size", "target"] + ["row"] * payload
     used = used.groupBy("uid").agg(*[x.alias(f"p{k}") for k, x in enumerate(per_pass)])
     if payload:
+        used = common.materialize(used, "used", narrow=True)
+        used = F.broadcast(used) if used.count() <= SEND_ROWS else used
         out = laid.join(used, "uid", "left").select(*kept, taken.alias("passes"))
     else:
         none = laid.where("size = 0").select(*kept, F.array(*[F.lit(0).cast("long")] * most).alias("passes"))
