@@ -139,7 +139,9 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.bias, -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 6, per_batch: int = 60, rate: float = 6e-3, clean_windows: int = 10, seed: int = 11) -> Network:
+def train(texts: list[str], labels: np.ndarray, epochs: int = 6, per_batch: int = 60, rate: float = 6e-3, clean_windows: int = 10, updates: int = 250, seed: int = 11) -> Network:
+    """At least so many epochs and so many updates: a few texts are gone through more often."""
+    epochs = max(epochs, -(-updates * per_batch // max(1, len(texts))))
     net, rng = Network(seed), np.random.default_rng(seed)
     adam = gru.Adam(net.params(), rate)
     for _ in range(epochs):
