@@ -141,21 +141,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("common", common_).where(F.col("common") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the edges of one partition: each node's edge to the smallest node of its own group."""
+    parent: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while (up := parent.get(x, x)) != top:
+            parent[x], x = top, up
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(u), find(v)
+            parent[max(a, b)] = min(a, b)
+    out = [(x, r) for x in parent if (r := find(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, root: root is the smallest node that links reach, for every node that has a link. Alternates large and small stars until nothing changes."""
-    edges, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), None
+    """node, root: root is the smallest node that links reach, for every node that has a link.
+
+    Parts of the edges are joined by union-find; large and small stars carry roots between parts, until every node hangs on one root that hangs on none.
+    """
+    spark = links.sparkSession
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     while True:
-        edges = common.materialize(edges, "edges", narrow=True)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        before = state
+        edges = common.materialize(edges.repartition(common.few(spark)).mapInArrow(_forest, "u binary, v binary"), "edges")
+        roles = edges.select(F.col("u").alias("node"), F.col("v").alias("up")).union(edges.select("v", F.lit(None).cast("binary")))
+        loose = roles.groupBy("node").agg(F.count("up").alias("ups"), F.count_if(F.col("up").isNull()).alias("downs"), F.min("up").alias("lo"), F.max("up").alias("hi")).where("ups > 0 and (downs > 0 or lo != hi)")
+        if loose.isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u")
-        edges = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least).distinct()
+        edges = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least)
 
 
 def _apart(members: DataFrame, percent: int) -> DataFrame:
