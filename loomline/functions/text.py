@@ -103,7 +103,7 @@ def anonymous_name(c: Column | str) -> Column:
     folder = F.regexp_extract(name, "^(.*/)", 1)
     leaf = F.substring_index(name, "/", -1)
     extension = F.when(leaf.rlike(r"^.+\.[^.]*$"), F.regexp_extract(leaf, r"(\.[^.]*)$", 1)).otherwise(F.lit(""))
-    stem = F.expr("substring(s, 1, length(s) - length(e))") if False else F.substring(leaf, F.lit(1), F.length(leaf) - F.length(extension))
+    stem = F.substring(leaf, F.lit(1), F.length(leaf) - F.length(extension))
     runs = F.regexp_replace(F.regexp_replace(stem, r"\p{Nd}+", "#"), r"[\p{L}\p{Nl}\p{No}]+", "x")
     return F.concat(folder, F.left(runs, F.lit(32)), extension)
 
