@@ -94,7 +94,7 @@ def _features(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.pieces(batch, "text", 1 << 20):
+            for part in common.pieces(batch, "text", 1 << 18):
                 words, at = common.word_hashes(part.column(2))
                 sets = shingle_hashes(words, at, shingle)
                 sig = signatures(sets).view(np.uint64)
@@ -117,7 +117,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.pieces(batch, "text"):
+            for part in common.pieces(batch, "text", 1 << 19):
                 words, at = common.word_hashes(part.column(1))
                 sets = [s.view(np.int64) for s in shingle_hashes(words, at, shingle)]
                 s = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets)))

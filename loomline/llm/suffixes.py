@@ -292,7 +292,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame
     source = docs.select(F.xxhash64(F.col(text).cast("string")).alias("key"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= length)
 
     def run_entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in common.pieces(batch, "text", 1 << 19):
+        for part in common.pieces(batch, "text", 1 << 18):
             data, at = common.text_buffer(part.column(1))
             yield runs(data, at, part.column(0).to_numpy(), length)
 
@@ -300,7 +300,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame
     asked = common.materialize(_by_document(first, (OPEN, WITNESS)), "asked")
 
     def window_entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in common.pieces(batch, "text", 1 << 19):
+        for part in common.pieces(batch, "text", 1 << 18):
             data, at = common.text_buffer(part.column(1))
             sums = common.prefix_sums(data)
             for key, b, packed in zip(part.column(0).to_pylist(), at, part.column(2).to_pylist()):
