@@ -2,7 +2,7 @@
 
 Counts of all training words are kept in parts by word fingerprint. The most frequent words (the head) are the network's vocabulary; every other word is one
 input and one output symbol, and its share of that symbol's probability is its smoothed count among them. The network is trained by truncated back-propagation
-on a fixed fraction of the training texts, in shards whose parameters are averaged; a text's score carries the state from its first word to its end.
+on all training texts, in shards whose parameters are averaged; a text's score carries the state from its first word to its end.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ FOLDS, HELD_OUT = 5, 1
 #: Words of the network; with the end and the symbol for all others it has two more.
 HEAD = 8190
 CLASSES, DIM, HIDDEN = 96, 24, 24
-#: One text in so many trains the network; a shard has about so many tokens.
-FRACTION, SHARD_TOKENS = 8, 250_000
+#: A shard has about so many tokens.
+SHARD_TOKENS = 1_000_000
 MAX_SHARDS = 1024
-LANES, STEPS, EPOCHS, RATE = 64, 24, 2, 8e-3
+LANES, STEPS, RATE = 256, 16, 1e-2
+#: All texts are gone through once; if they have fewer tokens than this together, more often, up to MAX_EPOCHS times.
+EPOCH_TOKENS, MAX_EPOCHS = 1_000_000, 4
 END, OTHER = 0, 1  # symbols; head words follow by falling count
 #: Tokens whose states are held before the flow of a task goes on.
 HELD_TOKENS = 6_000_000
@@ -34,6 +36,12 @@ COUNT = np.dtype([("h", "<u8"), ("c", "<i8")])
 USE = np.dtype([("h", "<u8"), ("doc", "<u4"), ("n", "<u4")])
 
 
+def _bounded(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether exp(h @ w + b) neither overflows nor sums to 0 for any h within -1..1."""
+    reach = np.abs(w).sum(-2)
+    return bool((b + reach).max() < 80 and (b - reach).max(-1).min() > -80)
+
+
 class Model:
     def __init__(self, counts: np.ndarray, seed: int = 13) -> None:
         """counts: of the symbols. Output biases start at their logarithms, so an untrained model is the unigram model."""
@@ -52,8 +60,10 @@ class Model:
         self.cw, self.cb = np.zeros((HIDDEN, CLASSES), np.float32), (cls - cls.max()).astype(np.float32)
         self.ow, self.ob = np.zeros((CLASSES, HIDDEN, self.size), np.float32), np.maximum(groups - np.maximum(top, -1e8)[:, None], -1e4).astype(np.float32)
 
+    NAMES = ("e", "wx", "bx", "wh", "cw", "cb", "ow", "ob")
+
     def params(self) -> list[np.ndarray]:
-        return [self.e, self.wx, self.bx, self.wh, self.cw, self.cb, self.ow, self.ob]
+        return [getattr(self, n) for n in self.NAMES]
 
     def inputs(self) -> np.ndarray:
         return self.e @ self.wx + self.bx
@@ -61,67 +71,86 @@ class Model:
     def log_probability(self, h: np.ndarray, y: np.ndarray, grads: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of symbols y after states h; with grads, those of cw, cb, ow, ob for the summed negative one are added to, and dh is returned."""
         cls, within = y // self.size, y % self.size
-        rows = np.arange(len(y))
+        # in the order of classes, so that each one's rows are a slice; states are within -1..1, so exp() needs no shift unless weights have grown very large
+        order = np.argsort(cls.astype(np.uint8), kind="stable")
+        h, cls, within = h[order], cls[order], within[order]
+        bounds, rows = np.searchsorted(cls, np.arange(CLASSES + 1)), np.arange(len(y))
         a = h @ self.cw + self.cb
-        a -= a.max(1, keepdims=True)
-        ea = np.exp(a)
-        sa = ea.sum(1)
-        out = a[rows, cls] - np.log(sa)
+        if not _bounded(self.cw, self.cb):
+            a -= a.max(1, keepdims=True)
+        own = a[rows, cls]
+        np.exp(a, out=a)
+        sums = a @ np.ones(CLASSES, np.float32)
+        out = own - np.log(sums)
         dh = None
         if grads is not None:
-            da = ea / sa[:, None]
-            da[rows, cls] -= 1
-            grads[0] += h.T @ da
-            grads[1] += da.sum(0)
-            dh = da @ self.cw.T
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+            a *= (1 / sums)[:, None]
+            a[rows, cls] -= 1
+            grads[0] += h.T @ a
+            grads[1] += np.ones(len(y), np.float32) @ a
+            dh = a @ self.cw.T
+        fine, ones = _bounded(self.ow, self.ob), np.ones(self.size, np.float32)
         for k in np.flatnonzero(np.diff(bounds)):
-            own = order[bounds[k] : bounds[k + 1]]
-            b = h[own] @ self.ow[k] + self.ob[k]
-            b -= b.max(1, keepdims=True)
-            eb = np.exp(b)
-            sb = eb.sum(1)
-            out[own] += b[np.arange(len(own)), within[own]] - np.log(sb)
+            part = slice(bounds[k], bounds[k + 1])
+            n, w = rows[: part.stop - part.start], within[part]
+            b = h[part] @ self.ow[k]
+            b += self.ob[k]
+            if not fine:
+                b -= b.max(1, keepdims=True)
+            own = b[n, w]
+            np.exp(b, out=b)
+            sums = b @ ones
+            out[part] += own - np.log(sums)
             if grads is not None:
-                db = eb / sb[:, None]
-                db[np.arange(len(own)), within[own]] -= 1
-                grads[2][k] += h[own].T @ db
-                grads[3][k] += db.sum(0)
-                dh[own] += db @ self.ow[k].T
-        return out, dh
-
-    def train(self, symbols: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> None:
-        """symbols: texts one after another, each closed by END. LANES streams run in step; the state is carried from window to window and begins anew after END."""
-        lanes = max(1, min(LANES, len(symbols) // 200))
-        n = len(symbols) // lanes
-        if n < 2:
+                b *= (1 / sums)[:, None]
+                b[n, w] -= 1
+                grads[2][k] += h[part].T @ b
+                grads[3][k] += np.ones(len(n), np.float32) @ b
+                dh[part] += b @ self.ow[k].T
+        back = np.empty_like(order)
+        back[order] = rows
+        return out[back], None if dh is None else dh[back]
+
+    def train(self, symbols: np.ndarray, epochs: int = 1, rate: float = RATE) -> None:
+        """symbols: texts one after another, each closed by END. LANES streams run in step; the state is carried from window to window and begins anew after END. The last lane is filled up from the beginning."""
+        if not len(symbols):
             return
-        y = symbols[: n * lanes].reshape(lanes, n).T
+        lanes = max(1, min(LANES, len(symbols) // 2000))
+        n = -(-len(symbols) // lanes)
+        y = np.resize(symbols, n * lanes).reshape(lanes, n).T
         x = np.vstack([np.full((1, lanes), END), y[:-1]])
-        adam = gru.Adam(self.params(), rate)
+        # parameters and gradients are views of one array each
+        flat, grads, at = np.concatenate([p.ravel() for p in self.params()]), [], 0
+        all_grads = np.zeros_like(flat)
+        for name, p in zip(self.NAMES, self.params()):
+            setattr(self, name, flat[at : at + p.size].reshape(p.shape))
+            grads.append(all_grads[at : at + p.size].reshape(p.shape))
+            at += p.size
+        adam = gru.FlatAdam(flat, rate)
         for epoch in range(epochs):
-            adam.rate = rate / (1 + epoch)
             h = np.zeros((lanes, HIDDEN), np.float32)
             for t0 in range(0, n, STEPS):
+                adam.rate = rate * max(0.1, 1 - (epoch * n + t0) / (epochs * n))
                 xs, ys = x[t0 : t0 + STEPS], y[t0 : t0 + STEPS]
-                proj, kept, states, alive = self.e[xs] @ self.wx + self.bx, [], [], (xs != END).astype(np.float32)[:, :, None]
+                inputs, kept, alive = self.e[xs.ravel()], [], (xs != END).astype(np.float32)[:, :, None]
+                proj, states = (inputs @ self.wx + self.bx).reshape(len(xs), lanes, -1), np.empty((len(xs), lanes, HIDDEN), np.float32)
                 for t in range(len(xs)):
-                    h = gru.step(proj[t], h * alive[t], self.wh, kept)
-                    states.append(h)
-                grads = [np.zeros_like(p) for p in self.params()]
-                _, dh_out = self.log_probability(np.concatenate(states), ys.ravel(), grads[4:])
+                    h = states[t] = gru.step(proj[t], h * alive[t], self.wh, kept)
+                all_grads.fill(0)
+                _, dh_out = self.log_probability(states.reshape(-1, HIDDEN), ys.ravel(), grads[4:])
                 dh_out = dh_out.reshape(len(xs), lanes, HIDDEN)
                 dh, dproj = np.zeros((lanes, HIDDEN), np.float32), np.empty_like(proj)
                 for t in range(len(xs) - 1, -1, -1):
                     dproj[t], dh = gru.back(dh + dh_out[t], kept[t], self.wh, grads[3])
                     dh *= alive[t]
-                flat = dproj.reshape(-1, 3 * HIDDEN)
-                grads[1] += self.e[xs].reshape(-1, DIM).T @ flat
-                grads[2] += flat.sum(0)
-                np.add.at(grads[0], xs.ravel(), flat @ self.wx.T)
-                scale = np.float32(1 / ys.size)
-                adam.update([g * scale for g in grads])
+                dproj = dproj.reshape(-1, 3 * HIDDEN)
+                grads[1] += inputs.T @ dproj
+                grads[2] += dproj.sum(0)
+                order = np.argsort(xs.ravel(), kind="stable")
+                used = xs.ravel()[order]
+                first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
+                grads[0][used[first]] += np.add.reduceat((dproj @ self.wx.T)[order], first)
+                adam.update(all_grads, 1 / ys.size)
 
     def score(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of each text, symbols[at[i]:at[i + 1]] with END last. Texts run in step, the longest first; those that have ended drop out."""
@@ -229,23 +258,34 @@ def _with_ends(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def trained(training: DataFrame, head: Head, model: Model, tokens: int) -> Model:
-    """model after training on the texts whose id's hash falls to it, one in FRACTION. The first shard warms it up; then all shards start from that, and their parameters are averaged in the proportion of their tokens."""
-    shards = max(1, min(MAX_SHARDS, tokens // FRACTION // SHARD_TOKENS))
-    mine = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(FRACTION)) == 0).select("text", F.pmod(F.xxhash64("text", F.lit(9)), F.lit(shards)).alias("shard"))
+    """model after training on all texts. The first shard warms it up; then all shards start from that, and their parameters are averaged in the proportion of their tokens."""
+    shards = max(1, min(MAX_SHARDS, tokens // SHARD_TOKENS))
+    epochs = max(1, min(MAX_EPOCHS, EPOCH_TOKENS // max(tokens, 1)))
+    mine = training.select("text", F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(shards)).alias("shard"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The symbols of a shard's texts one after another, 2 bytes each."""
+        for part, words, at in _tokens(batches, 0):
+            s, at = _with_ends(head.symbols(words).astype("<u2"), at)
+            s, shard = s.astype("<u2"), part.column(1).to_numpy()
+            order = np.argsort(shard, kind="stable")
+            cut = np.flatnonzero(np.diff(shard[order])) + 1
+            data = [np.concatenate([s[at[i] : at[i + 1]] for i in own]).tobytes() for own in np.split(order, cut)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[order][np.concatenate([[0], cut])], pa.int64()), pa.array(data, pa.binary())], ["shard", "data"])
 
     def learn(start: Model):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list[np.ndarray]] = {}
-            for part, words, at in _tokens(batches, 0):
-                s, at = _with_ends(head.symbols(words).astype(np.int32), at)
-                shard = part.column(1).to_numpy()
-                for k in np.unique(shard):
-                    held.setdefault(int(k), []).extend(s[at[i] : at[i + 1]] for i in np.flatnonzero(shard == k))
-            for k, texts in held.items():
+            held: dict[int, list[bytes]] = {}
+            for batch in batches:
+                for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    held.setdefault(k, []).append(x)
+            for k in list(held):
                 m = Model.__new__(Model)
                 m.__dict__ |= {n: v.copy() if isinstance(v, np.ndarray) else v for n, v in start.__dict__.items()}
+                stream = np.frombuffer(b"".join(held.pop(k)), "<u2")
+                texts = np.split(stream, np.flatnonzero(stream == END) + 1)
                 stream = np.concatenate(sorted(texts, key=lambda x: x.tobytes())).astype(np.int64)
-                m.train(stream)
+                m.train(stream, epochs)
                 flat = np.concatenate([p.ravel() for p in m.params()])
                 for c, x in enumerate(np.array_split(flat, 16)):
                     yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([k], pa.int32()), pa.array([float(len(stream))]), pa.array([x.tobytes()], pa.binary())], ["chunk", "shard", "weight", "data"])
@@ -264,7 +304,7 @@ def trained(training: DataFrame, head: Head, model: Model, tokens: int) -> Model
 
     for rows in (mine.where("shard = 0"), mine) if shards > 1 else (mine,):
         n = 1 if rows is not mine else shards
-        got = rows.repartition(n, "shard").mapInArrow(learn(model), "chunk int, shard int, weight double, data binary").repartition(16, "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(average, "chunk int, data binary").collect()  # one model
+        got = rows.mapInArrow(send, "shard long, data binary").repartition(n, "shard").mapInArrow(learn(model), "chunk int, shard int, weight double, data binary").repartition(16, "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(average, "chunk int, data binary").collect()  # one model
         if len(got) == 16:
             flat = np.concatenate([np.frombuffer(r["data"], np.float32) for r in sorted(got, key=lambda r: r["chunk"])])
             at = 0

@@ -86,6 +86,17 @@ def test_op3_model_is_a_distribution_and_learns():
     assert both == pytest.approx(alone, rel=1e-4)
 
 
+def test_op3_learns_from_every_training_text(spark):
+    words = [[f"w{i}x{k}" for k in range(5)] for i in range(60)]
+    h = common.word_hashes(pa.array([" ".join(w) for w in words]))[0]
+    head = language_model.Head([{"h": int(x), "c": 1} for x in h.view(np.int64)])
+    counts = np.array([60.0, 0.0, *[1.0] * len(h)])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    model = language_model.trained(df, head, language_model.Model(counts), len(h) + 60)
+    moved = (model.e != language_model.Model(counts).e).any(1)
+    assert moved[head.symbols(h)].all()
+
+
 def test_op4_equals_the_public_library(spark, texts):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL_PATH)
     got = result(spark, "op4_pieces")
