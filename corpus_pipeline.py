@@ -9,6 +9,8 @@ from loomline.llm import common, mixing, nearcopies, pieces, quality, suffixes
 
 #: Rows of 8 bytes up to which the documents to drop are sent to all tasks instead of being joined by a shuffle.
 SEND_ROWS = 1_000_000
+#: Words of the shortest passage that may not repeat: over 50.
+PASSAGE_WORDS = 51
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat; those of which no word is left go."""
-    left = suffixes.deduplicate(docs, payload=True).select("kept", "n_removed", "row.*")
+    left = suffixes.deduplicate(docs, length=PASSAGE_WORDS, words=True, payload=True).select("kept", "n_removed", "row.*")
     changed = F.col("n_removed") > 0
     columns = [F.col("kept").alias(c) if c == "text" else F.when(changed, F.length("kept").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return left.where(~changed | (common.n_words("kept") > 0)).select(*columns)

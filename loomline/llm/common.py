@@ -161,10 +161,10 @@ def span_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(raw + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the case-folded words of all texts in order, and where each text's begin (one more entry than texts)."""
+def word_hashes(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the words (case-folded, or as they are) of all texts in order, and where each text's begin (one more entry than texts)."""
     data, at = text_buffer(texts)
-    data = fold_case(data)
+    data = fold_case(data) if fold else data
     begin, end, doc = words_of(data, at)
     return span_hashes(prefix_sums(data), begin, end), np.searchsorted(doc, np.arange(len(at)))
 

@@ -44,6 +44,11 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
+def _units(texts: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What windows are counted in: the bytes of all texts or fingerprints of their words, and where each text's begin."""
+    return common.word_hashes(texts, fold=False) if words else common.text_buffer(texts)
+
+
 def runs(data: np.ndarray, at: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
     """The entries of all documents of a piece."""
     if len(data) < length:
@@ -284,16 +289,17 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, SPAN)
 
 
-def repeats(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", length: int = 400, words: bool = False) -> DataFrame:
     """key, packed, copies: for each text that has repeated windows their starts (SPAN records of kind FOUND); copies is how many rows have the text.
 
-    key is xxhash64 of the text. Only texts of at least `length` bytes can have any.
+    key is xxhash64 of the text. Only texts of at least `length` bytes can have any; with words=True windows, starts and `length` are counted in words.
     """
-    source = docs.select(F.xxhash64(F.col(text).cast("string")).alias("key"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= length)
+    least = 2 * length - 1 if words else length  # bytes of the shortest window
+    source = docs.select(F.xxhash64(F.col(text).cast("string")).alias("key"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= least)
 
     def run_entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in common.pieces(batch, "text", 1 << 18):
-            data, at = common.text_buffer(part.column(1))
+            data, at = _units(part.column(1), words)
             yield runs(data, at, part.column(0).to_numpy(), length)
 
     first = _indexed(source, run_entries, "runs")
@@ -301,7 +307,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame
 
     def window_entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in common.pieces(batch, "text", 1 << 18):
-            data, at = common.text_buffer(part.column(1))
+            data, at = _units(part.column(1), words)
             sums = common.prefix_sums(data)
             for key, b, packed in zip(part.column(0).to_pylist(), at, part.column(2).to_pylist()):
                 p = _unpack(packed)
@@ -330,15 +336,27 @@ def covered(n_bytes: int, packed: bytes | None, copies: int | None, length: int)
     return np.cumsum(d[:-1]) > 0
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 400, payload: bool = False) -> DataFrame:
+def word_bytes(gone: np.ndarray, begin: np.ndarray, end: np.ndarray, n_bytes: int) -> np.ndarray:
+    """Which bytes go with the words that go: theirs, and what is between two of them."""
+    d = np.zeros(n_bytes + 1, np.int32)
+    last = np.append(~gone[1:], True)[: len(gone)] & gone
+    first = np.append(True, ~gone[:-1])[: len(gone)] & gone
+    d[begin[first]] += 1
+    d[end[last]] -= 1
+    return np.cumsum(d[:-1]) > 0
+
+
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 400, payload: bool = False, words: bool = False) -> DataFrame:
     """Removes each byte that a string of `length` bytes covers which also begins elsewhere, in this document or another.
 
+    With words=True it removes each word that a string of `length` words covers which also begins elsewhere, whatever stands between the words.
+
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; payload=True adds row, a struct of docs' columns but the text, and kept, the rest of the text, where a
     character that a removal cut is dropped (the digest is of all bytes kept). A null text is empty. Rows that repeat are copies of each other, so all their text
     goes (if it is long enough). Columns are kept in row, so no name can clash. An empty table gives no rows.
     """
     common.tune(docs.sparkSession)
-    spans = repeats(docs, text, length)
+    spans = repeats(docs, text, length, words)
     source = docs.select(F.xxhash64(F.col(text).cast("string")).alias("key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")] * payload)
     both = _with_spans(source, spans, "left").select("doc_id", "text", "packed", "copies", *["row"] * payload)
 
@@ -346,8 +364,13 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", len
         for batch in batches:
             data, at = common.text_buffer(batch.column(1))
             n, removed, runs_, sha, kept = np.diff(at), [], [], [], []
-            for b, e, packed, copies in zip(at[:-1], at[1:], batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                gone = covered(int(e - b), packed, copies, length) if packed or copies else None
+            begin, end, doc = common.words_of(data, at) if words else (None, None, np.zeros(0, np.int64))
+            word_at = np.searchsorted(doc, np.arange(len(at)))
+            for i, (b, e, packed, copies) in enumerate(zip(at[:-1], at[1:], batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                own = slice(word_at[i], word_at[i + 1])
+                gone = covered(own.stop - own.start if words else int(e - b), packed, copies, length) if packed or copies else None
+                if words and gone is not None:
+                    gone = word_bytes(gone, begin[own] - b, end[own] - b, int(e - b))
                 left = (data[b:e] if gone is None else data[b:e][~gone]).tobytes()
                 removed.append(0 if gone is None else int(gone.sum()))
                 runs_.append(0 if gone is None or not len(gone) else int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])))

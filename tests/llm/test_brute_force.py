@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomline.llm import common, language_model, licenses, media, mixing, nearcopies, neighbours, pieces, quality, queries, suffixes, toxicity
@@ -248,6 +249,28 @@ def test_op9_windows(spark, texts):
         assert (r.n_removed, r.kept_sha256) == (gone.sum(), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
 
 
+def test_pipeline_removes_repeats_of_over_50_words(spark):
+    rng = np.random.default_rng(8)
+    some = lambda n: [f"{'abcdefghij'[i % 10]}{i if i > 999 else ''}" for i in rng.integers(0, 4000, n)]
+    planted = [some(n) for n in (50, 51, 52, 55, 60)]
+    texts = [some(70) for _ in range(4)] + [["one", "two"]]
+    for k, p in enumerate(planted):
+        for _ in range(2):
+            texts.append(some(20 + k) + p + some(9))
+    texts.append(some(3) + planted[1] + planted[4] + some(3))
+    seps = [" ", "\n", "\t "]
+    joined = ["".join(w + seps[(i + j) % 3] for j, w in enumerate(t)) for i, t in enumerate(texts)]
+    c = collections.Counter(tuple(t[i : i + 51]) for t in texts for i in range(len(t) - 50))
+    want = {}
+    for k, t in enumerate(texts):
+        gone = {j for i in range(len(t) - 50) if c[tuple(t[i : i + 51])] > 1 for j in range(i, i + 51)}
+        want[k] = [w for j, w in enumerate(t) if j not in gone]
+    df = spark.createDataFrame(list(enumerate(joined)), "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+    got = {r["doc_id"]: r for r in corpus_pipeline.drop_passages(spark, df, DIR).collect()}
+    assert {k: WORD.findall(r["text"]) for k, r in got.items()} == {k: w for k, w in want.items() if w}
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and sum(len(t) - len(want[k]) for k, t in enumerate(texts)) == 2 * (51 + 52 + 55 + 60) + 51 + 60
+
+
 def test_op9_family_takes_batches_in_any_order():
     rng = np.random.default_rng(6)
     m, c = rng.integers(0, 40, 400).astype(np.uint64), rng.integers(0, 3, 400).astype(np.uint64)
