@@ -20,10 +20,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group of near copies."""
-    gone = common.materialize(nearcopies.near_copies(docs).where("not kept").select("row_key").distinct(), "gone", narrow=True)
-    gone = F.broadcast(gone) if gone.count() <= SEND_ROWS else gone
-    return docs.join(gone, F.xxhash64("doc_id", "text") == F.col("row_key"), "left_anti")
+    """One row, of those with the least id, of each group of near copies. Texts without words are in no group."""
+    found = nearcopies.near_copies(docs).groupBy("row_key").agg(F.min("first").alias("first"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"))
+    found = common.materialize(found.where("not first or (n > 1 and n_shingles > 0)").select("row_key", "first"), "gone", narrow=True)
+    n_again, n_gone = found.agg(F.count_if("first"), F.count_if(~F.col("first"))).first()
+    send = lambda keys, n: F.broadcast(keys) if n <= SEND_ROWS else keys
+    is_key = F.xxhash64("doc_id", "text") == F.col("row_key")
+    left = docs.join(send(found.where("not first").select("row_key"), n_gone), is_key, "left_anti")
+    if not n_again:
+        return left
+    # rows that repeat: one of each id and text
+    again = send(found.where("first").select("row_key"), n_again)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = left.join(again, is_key, "left_semi").select(F.xxhash64("doc_id", "text").alias("row_key"), row.alias("row")).groupBy("row_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return left.join(again, is_key, "left_anti").select(*docs.columns).union(one.select("row.*"))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -242,17 +242,18 @@ def _apart(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, row_key (xxhash64 of id and text), one row per row of docs.
+    """doc_id, n_shingles, component_id, kept, row_key (xxhash64 of id and text), first, one row per row of docs.
 
     Words are A-Z folded runs other than space and tab to carriage return. Null and wordless texts have no shingles and link with nothing: each is its own
     component. Rows that repeat, and texts with equal sets, are linked whatever their number. component_id is the smallest id reachable (null only if all of
-    them are null), kept says that the row has that id. An empty table gives no rows.
+    them are null), kept says that the row has that id. first says that row_key is the one that stands for the component, of all its rows that with the least id
+    (null last) and then the least row_key: only rows that repeat share it. An empty table gives no rows.
     """
     common.tune(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     source = source.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
     rows = common.materialize(_features(source, shingle), "features")
-    classes = rows.where("d is not null").groupBy("d").agg(F.min(F.struct("doc_id", "rk")).alias("least"), F.min("doc_id").alias("min_id"), F.first("bands").alias("bands"))
+    classes = rows.where("d is not null").groupBy("d").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("least"), F.min("doc_id").alias("min_id"), F.first("bands").alias("bands"))
     classes = common.materialize(classes.select("d", "min_id", F.col("least.rk").alias("rk"), "bands"), "classes")
 
     placed = classes.select("d", F.explode("bands").alias("bucket"))
@@ -273,13 +274,14 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
         links = links.union(confirmed(more, sets, percent))
         roots = components(links)
 
-    named = roots.join(classes.select(F.col("d").alias("node"), "min_id"), "node")
-    named = named.select("node", "root").join(named.groupBy("root").agg(F.min("min_id").alias("component")), "root").select(F.col("node").alias("d"), "component")
-    ids = classes.select("d", "min_id").join(named, "d", "left").select("d", F.coalesce("component", "min_id").alias("component_id"))
+    named = roots.join(classes.select(F.col("d").alias("node"), "min_id", "rk"), "node")
+    best = named.groupBy("root").agg(F.min("min_id").alias("component"), F.min(F.struct(F.col("min_id").isNull().alias("none"), "min_id", "rk")).alias("best"))
+    named = named.select("node", "root").join(best, "root").select(F.col("node").alias("d"), "component", F.col("best.rk").alias("best"))
+    ids = classes.select("d", "min_id", F.col("rk").alias("own")).join(named, "d", "left").select("d", F.coalesce("component", "min_id").alias("component_id"), F.coalesce("best", "own").alias("best"))
     out = rows.select("doc_id", "rk", "n", "d").join(ids, "d", "left")
     component = F.when(F.col("d").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("rk").alias("row_key"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("rk").alias("row_key"), F.coalesce(F.col("rk") == F.col("best"), F.lit(True)).alias("first"))
 
 
 def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(common.documents(spark, sf_dir), shingle=2).drop("row_key")
+    return near_copies(common.documents(spark, sf_dir), shingle=2).drop("row_key", "first")

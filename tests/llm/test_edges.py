@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loomline.llm import language_model, licenses, media, mixing, nearcopies, neighbours, pieces, quality, suffixes, toxicity
 
 LONG = " ".join(f"word{i} tail{i % 7}" for i in range(30_000))
@@ -91,6 +92,22 @@ def test_near_copies(spark, docs):
     assert nearcopies.near_copies(docs.where("false")).count() == 0
 
 
+def test_pipeline_keeps_one_of_rows_that_repeat(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(90))
+    rows = [(1, text(1), "a")] * 3 + [(1, text(1), "b")]  # one id and text
+    rows += [(None, text(2), "a")] * 2 + [(None, text(2), "b")]  # without an id
+    rows += [(5, text(3), "a"), (5, text(3) + " more", "a")]  # near copies under one id
+    rows += [(6, text(4), "a"), (6, text(5), "a")]  # different texts under one id
+    rows += [(None, text(6), "a"), (8, text(6) + " more", "a"), (7, text(7), "a"), (9, "", "a"), (9, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+    left = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert left.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"].split(" ")[0]) for r in left.collect()), key=str)
+    assert got == sorted([(1, "w1x0"), (None, "w2x0"), (5, "w3x0"), (6, "w4x0"), (6, "w5x0"), (8, "w6x0"), (7, "w7x0"), (9, ""), (9, "")], key=str)
+    through = corpus_pipeline.drop_passages(spark, left, "")
+    assert sorted(r["text"].split(" ")[0] for r in through.collect()) == sorted(t for _, t in got)
+
+
 def test_media(spark, docs):
     got = by_id(media.store(docs))
     assert sum(map(len, got.values())) == len(ROWS)
