@@ -35,7 +35,8 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, size: int) -> list[np.ndar
     with np.errstate(over="ignore"):
         h = np.zeros(n, np.uint64)
         for k in range(size):
-            h[: n - k or None] = common.mix(h[: n - k or None] * np.uint64(0x9FB21C651E98DF25) + words[k:])
+            m = max(n - k, 0)  # none, where all words together are fewer than k
+            h[:m] = common.mix(h[:m] * np.uint64(0x9FB21C651E98DF25) + words[k:])
         out = []
         for b, e in zip(at[:-1], at[1:]):
             if e - b >= size:

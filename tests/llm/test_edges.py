@@ -92,6 +92,16 @@ def test_near_copies(spark, docs):
     assert nearcopies.near_copies(docs.where("false")).count() == 0
 
 
+def test_near_copies_of_few_words_alone(spark):
+    df = spark.createDataFrame([(1, "one"), (2, "just four words here"), (3, "Just four words here")], "doc_id long, text string").coalesce(1)
+    for size in (2, 5):
+        got = by_id(nearcopies.near_copies(df.where("doc_id < 3"), shingle=size))
+        assert [got[k][0]["n_shingles"] for k in (1, 2)] == [1, 3 if size == 2 else 1]
+        got = by_id(nearcopies.near_copies(df, shingle=size))
+        assert [got[k][0]["component_id"] for k in (1, 2, 3)] == [1, 2, 2]
+        assert by_id(nearcopies.near_copies(df.where("doc_id = 1"), shingle=size))[1][0]["n_shingles"] == 1
+
+
 def test_pipeline_keeps_one_of_rows_that_repeat(spark):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(90))
     rows = [(1, text(1), "a")] * 3 + [(1, text(1), "b")]  # one id and text
