@@ -144,10 +144,10 @@ def corridor_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def step_cost_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = sides(spark, sf_dir)
     sums = [x.groupBy("pair_id").agg(F.sum(F.length(tx.strip_tags("frag"))).alias(f"t{s}"), F.min_by(F.length(tx.strip_tags("frag")), "seq").cast("double").alias(s)) for x, s in ((a, "x"), (b, "y"))]
-    rows = sums[0].join(sums[1], "pair_id").select("pair_id", "x", "y", (F.col("tx") / F.col("ty")).alias("ratio"))
-    mean = F.when(F.col("y") * F.col("ratio") <= 0, 1.0).otherwise(F.col("y") * F.col("ratio"))
-    near = rows.where(F.abs(F.col("x") - mean) / F.sqrt(mean * alignment.VARIANCE) < 6)
-    return alignment.step_costs(near).select("pair_id", F.round("cost", 3).alias("cost"))
+    chars = lambda c: F.when(F.col(c) == 0, 1).otherwise(F.col(c))
+    rows = sums[0].join(sums[1], "pair_id").select("pair_id", "x", "y", (chars("tx") / chars("ty")).alias("ratio"))
+    # all pairs; the SQL's series stops short of six deviations, so it has no row for those beyond
+    return alignment.step_costs(rows).select("pair_id", F.round("cost", 3).alias("cost"))
 
 
 @query("align_conversations", _PATHS + " select pair_id, cast(bead as integer) as bead, a_n, b_n from beads")

@@ -1,11 +1,13 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 
 from loomline.operators import alignment as al
 from loomline.operators import chapters
+from loomline.plans import catalog
 
 
 def pair(a, b, ah=None, bh=None):
@@ -105,3 +107,17 @@ def test_one_sided_pair_is_one_bead(spark):
     a = spark.createDataFrame([("x", 0, "p", "abc"), ("x", 1, "p", "d")], "pair_id string, seq int, tag string, frag string")
     got = al.align(a, a.where("false")).collect()
     assert [(r["a_n"], r["b_n"], r["margin"]) for r in got] == [(2, 0, math.inf)]
+
+
+def test_step_cost_11_has_every_pair(spark):
+    small = "/root/testdata/sf0.01"
+    lengths = [{k: [len(re.sub("<[^>]+>", "", x)) for x in g] for k, g in side.toPandas().sort_values("seq").groupby("pair_id").frag} for side in catalog.sides(spark, small)]
+    want, far = {}, 0
+    for k, a in lengths[0].items():
+        b = lengths[1][k]
+        mean = b[0] * ((sum(a) or 1) / (sum(b) or 1)) or 1.0
+        z = abs(a[0] - mean) / math.sqrt(mean * 6.8)
+        far += z >= 6
+        want[k] = -100 * math.log(0.89) - 100 * math.log(max(2 * (1 - 0.5 * (1 + math.erf(z / math.sqrt(2)))), 1e-30))
+    got = {r["pair_id"]: r["cost"] for r in catalog.QUERIES["step_cost_11"](spark, small).collect()}
+    assert far > 0 and got == pytest.approx(want, abs=2e-3)
