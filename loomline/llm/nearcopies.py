@@ -183,15 +183,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, percent: int) -> DataFrame:
-    """members: bucket, d, root, n, bands, sig, s. Pairs of different roots in one bucket that are linked as far as 32 bits of each shingle tell.
+    """members: bucket, d, root, n, bands, sig, s. Pairs of different roots in one bucket that are linked, by their full shingles.
 
     Rows are compared in blocks, and a pair only in the first bucket that it shares. Signatures far apart are passed over; of the links between two groups the
-    closest ones are enough. Nothing is sent for a pair that is not a link.
+    closest one is enough. Nothing is sent for a pair that is not a link.
     """
     counts = members.groupBy("bucket").count().select("bucket", F.expr(f"(count + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
     rows = members.join(counts, "bucket").withColumn("own", F.expr("pmod(xxhash64(d), blocks)"))
-    rows = rows.withColumn("short", F.expr("array_sort(transform(s, x -> cast(x & 2147483647L as int)))")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "d", "root", "n", "bands", "sig", "short")
+    rows = rows.withColumn("s", F.array_sort("s")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "d", "root", "n", "bands", "sig", "s")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "d")
     least = percent / 100
 
@@ -200,10 +200,10 @@ def _apart(members: DataFrame, percent: int) -> DataFrame:
         root, d = np.unique(np.array(group["root"].to_pylist(), object), return_inverse=True)[1], group["d"].to_pylist()
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(len(n), -1)
         bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(n), -1)
-        flat, at = group["short"].combine_chunks().flatten().to_numpy(), np.cumsum(np.concatenate([[0], n.astype(int)]))
+        flat, at = group["s"].combine_chunks().flatten().to_numpy(), np.cumsum(np.concatenate([[0], n.astype(int)]))
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        best: dict[tuple[int, int], list] = {}
+        best: dict[tuple[int, int], tuple] = {}
         for x in left:
             y = right if i != j else right[right > x]
             y = y[(root[y] != root[x]) & (np.minimum(n[y], n[x]) >= least * np.maximum(n[y], n[x]))]
@@ -213,12 +213,11 @@ def _apart(members: DataFrame, percent: int) -> DataFrame:
             for k in y:
                 sy = flat[at[k] : at[k + 1]]
                 both = int((sy[np.minimum(np.searchsorted(sy, sx), len(sy) - 1)] == sx).sum())
-                if both + 1 >= least * (n[x] + n[k] - both - 1):
-                    kept = best.setdefault((min(root[x], root[k]), max(root[x], root[k])), [])
-                    kept.append((-both / (n[x] + n[k] - both), min(d[x], d[k]), max(d[x], d[k])))
-                    kept.sort()
-                    del kept[4:]
-        pairs = [p for kept in best.values() for p in kept]
+                if 100 * both >= percent * (n[x] + n[k] - both):
+                    groups = min(root[x], root[k]), max(root[x], root[k])
+                    link = -both / (n[x] + n[k] - both), min(d[x], d[k]), max(d[x], d[k])
+                    best[groups] = min(best.get(groups, link), link)
+        pairs = list(best.values())
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (1, 2)], ["a", "b"]) if pairs else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

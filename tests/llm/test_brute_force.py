@@ -171,6 +171,17 @@ def test_op5_joins_what_no_leader_joins(spark):
     assert got == {k: find(k) for k in range(60)}
 
 
+def test_op5_compares_full_shingles(spark):
+    # five pairs that differ in the upper bits only, and one link between the same two groups
+    near, rows = list(range(1, 101)), []
+    for k in range(5):
+        rows += [(f"a{k}", "A", [i + 1000 * k for i in near]), (f"b{k}", "B", [(1 << 40) + i + 1000 * k for i in near])]
+    rows += [("a9", "A", [-i for i in near]), ("b9", "B", [-i for i in near[:80]])]
+    data = [(7, d.encode(), r.encode(), len(s), [7] * nearcopies.BANDS, bytes(2 * nearcopies.BANDS * nearcopies.ROWS), s) for d, r, s in rows]
+    members = spark.createDataFrame(data, "bucket long, d binary, root binary, n long, bands array<long>, sig binary, s array<long>")
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in nearcopies._apart(members, 80).collect()] == [(b"a9", b"b9")]
+
+
 def test_op5_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 900).astype(np.uint64)
