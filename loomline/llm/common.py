@@ -130,7 +130,7 @@ def fold_case(data: np.ndarray) -> np.ndarray:
 
 
 def _table(kind: str, base: int, n: int) -> np.ndarray:
-    if len(_powers.get(kind, ())) < n:
+    if kind not in _powers or len(_powers[kind]) < n:  # a worker's first texts may be empty
         x = np.full(max(n, 1 << 16), np.uint64(base))
         x[0] = 1
         _powers[kind] = np.cumprod(x, dtype=np.uint64)

@@ -3,11 +3,12 @@
 import hashlib
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomline.llm import language_model, licenses, media, mixing, nearcopies, neighbours, pieces, quality, suffixes, toxicity
+from loomline.llm import common, language_model, licenses, media, mixing, nearcopies, neighbours, pieces, quality, suffixes, toxicity
 
 LONG = " ".join(f"word{i} tail{i % 7}" for i in range(30_000))
 ROWS = [
@@ -102,6 +103,12 @@ def test_near_copies_of_few_words_alone(spark):
         assert by_id(nearcopies.near_copies(df.where("doc_id = 1"), shingle=size))[1][0]["n_shingles"] == 1
 
 
+def test_first_texts_of_a_worker_are_empty(monkeypatch):
+    monkeypatch.setattr(common, "_powers", {})
+    words, at = common.word_hashes(pa.array(["", None]))
+    assert len(words) == 0 and at.tolist() == [0, 0, 0]
+
+
 def test_pipeline_keeps_one_of_rows_that_repeat(spark):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(90))
     rows = [(1, text(1), "a")] * 3 + [(1, text(1), "b")]  # one id and text
