@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that numpy code works on at once; a longer document is a piece by itself.
 PIECE_BYTES = 2 << 20
+#: Arrow batches after which a worker gives back what is free.
+RELEASE_BATCHES = 8
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
@@ -31,14 +34,41 @@ _powers: dict[str, np.ndarray] = {}
 
 def tune(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, so that a worker's memory doesn't depend on the lengths of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the system (glibc only)."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, during and after which the worker gives memory that it has freed back to the system: workers stay from task to task and from one operator to the next."""
+
+    def now_and_then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in enumerate(batches, 1):
+            yield batch
+            if k % RELEASE_BATCHES == 0:
+                release()
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(now_and_then(batches))
+        finally:
+            release()
+
+    return through
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where the cluster names none."""
+    """The folder that all executors share (spark.checkpoint.dir). Where none is set, a temporary one in local mode, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

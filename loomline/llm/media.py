@@ -182,7 +182,7 @@ def store(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tup
                         rows[name].append(row[name])
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(rows[n], _COLUMNS[n][1]) for n in names]], ["doc_id", *names])
 
-    return source.mapInArrow(run, T.StructType([source.schema["doc_id"], *[T.StructField(n, _COLUMNS[n][0]) for n in names]]))
+    return source.mapInArrow(common.released(run), T.StructType([source.schema["doc_id"], *[T.StructField(n, _COLUMNS[n][0]) for n in names]]))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

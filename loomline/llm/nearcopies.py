@@ -110,7 +110,7 @@ def _features(docs: DataFrame, shingle: int) -> DataFrame:
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), bands, common.binary(list(short))], ["doc_id", "rk", "n", "d", "bands", "sig"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.released(run), schema)
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -124,7 +124,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                 s = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([part.column(0), s], ["d", "s"])
 
-    return docs.select("d", "text").mapInArrow(run, "d binary, s array<long>")
+    return docs.select("d", "text").mapInArrow(common.released(run), "d binary, s array<long>")
 
 
 def sets_of(asked: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
@@ -170,7 +170,7 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     while True:
-        edges = common.materialize(edges.repartition(common.few(spark)).mapInArrow(_forest, "u binary, v binary"), "edges")
+        edges = common.materialize(edges.repartition(common.few(spark)).mapInArrow(common.released(_forest), "u binary, v binary"), "edges")
         roles = edges.select(F.col("u").alias("node"), F.col("v").alias("up")).union(edges.select("v", F.lit(None).cast("binary")))
         loose = roles.groupBy("node").agg(F.count("up").alias("ups"), F.count_if(F.col("up").isNull()).alias("downs"), F.min("up").alias("lo"), F.max("up").alias("hi")).where("ups > 0 and (downs > 0 or lo != hi)")
         if loose.isEmpty():
@@ -238,7 +238,7 @@ def _apart(members: DataFrame, percent: int) -> DataFrame:
         if held and (out := compare(pa.Table.from_batches(held))) is not None:
             yield out
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(common.released(run), "a binary, b binary").distinct()
 
 
 def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 80) -> DataFrame:

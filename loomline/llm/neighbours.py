@@ -156,7 +156,7 @@ def search(vectors: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: st
                     took = batch.take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([*took.columns, pa.array(to, pa.int32())], [*cols, "list"])
 
-        return df.mapInArrow(run, schema)
+        return df.mapInArrow(common.released(run), schema)
 
     placed = common.materialize(routed(entries, lists_for_vectors, ["v", "ids"]), "placed")
     probed = common.materialize(routed(queries, lists_for_queries, ["h1", "h2", "v"]), "probed")

@@ -331,7 +331,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model_pa
                     columns.append(pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(common.released(run), schema)
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ class Network:
         return np.tanh((x - self.shift) / self.scale @ self.p[0] + self.p[1])
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return (self._hidden(x) @ self.p[2] + self.p[3]).astype(np.float64)
+        return np.concatenate([np.zeros(0), *((self._hidden(x[b : b + 1000]) @ self.p[2] + self.p[3]).astype(np.float64) for b in range(0, len(x), 1000))])
 
     def gradient(self, x: np.ndarray, d: np.ndarray) -> list[np.ndarray]:
         h = self._hidden(x)
@@ -90,8 +90,9 @@ class Network:
 def nn_pu(net: Network, positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 30, batch: int = 256, rate: float = 2e-3, decay: float = 1e-4, seed: int = 5) -> None:
     """Minimises prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the logistic loss; where the second part is below 0 its gradient is reversed."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled])
-    net.shift, net.scale = both.mean(0), both.std(0) + 0.02
+    n = len(positive) + len(unlabelled)
+    net.shift = (positive.sum(0) + unlabelled.sum(0)) / n
+    net.scale = np.sqrt(sum(((x[b : b + 1000] - net.shift) ** 2).sum(0) for x in (positive, unlabelled) for b in range(0, len(x), 1000)) / n) + np.float32(0.02)
     sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -30, 30)))
     m, v, step = [np.zeros_like(p) for p in net.p], [np.zeros_like(p) for p in net.p], 0
     for _ in range(epochs):
@@ -114,15 +115,23 @@ def nn_pu(net: Network, positive: np.ndarray, unlabelled: np.ndarray, prior: flo
 
 
 def logistic_fit(f: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and bias of the logistic fit of label y on margin f (Newton), with a weak pull to slope 1."""
-    a, b = 1.0, 0.0
+    """Slope and bias of the logistic fit of label y on margin f (Newton, a step is halved until it lowers the loss), with a weak pull to slope 1."""
+    y = np.asarray(y, float)
+
+    def loss(x: np.ndarray) -> float:
+        return float(np.logaddexp(0, -(2 * y - 1) * (x[0] * f + x[1])).sum() + ((x[0] - 1) ** 2 + 0.1 * x[1] ** 2) / 2)
+
+    x = np.array([1.0, 0.0])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x[0] * f + x[1], -30, 30)))
         w = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * f).sum() + (a - 1), (p - y).sum() + 0.1 * b])
-        hess = np.array([[(w * f * f).sum() + 1, (w * f).sum()], [(w * f).sum(), w.sum() + 0.1]])
-        a, b = np.array([a, b]) - np.clip(np.linalg.solve(hess, g), -2, 2)
-    return max(float(a), 1e-3), float(b)
+        g = np.array([((p - y) * f).sum() + (x[0] - 1), (p - y).sum() + 0.1 * x[1]])
+        step = np.linalg.solve(np.array([[(w * f * f).sum() + 1, (w * f).sum()], [(w * f).sum(), w.sum() + 0.1]]), g)
+        now = loss(x)
+        while loss(x - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        x = x - step
+    return max(float(x[0]), 1e-3), float(x[1])
 
 
 def _feature_rows(df: DataFrame, more: list[str]) -> DataFrame:
@@ -133,7 +142,7 @@ def _feature_rows(df: DataFrame, more: list[str]) -> DataFrame:
             for part in common.pieces(batch, "text", 1 << 19):
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in more], common.binary(list(features(part.column("text"))))], [*more, "f"])
 
-    return df.select(*more, "text").mapInArrow(run, T.StructType([*df.select(*more).schema, T.StructField("f", T.BinaryType())]))
+    return df.select(*more, "text").mapInArrow(common.released(run), T.StructType([*df.select(*more).schema, T.StructField("f", T.BinaryType())]))
 
 
 def may_learn(doc_id: str | Column = "doc_id") -> Column:
@@ -161,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network
     got = _feature_rows(docs.join(F.broadcast(asked), "doc_id"), ["doc_id", "kind"]).dropDuplicates(["doc_id"]).collect()
     got.sort(key=lambda r: r["doc_id"])
     x = {k: np.array([np.frombuffer(r["f"], np.float32) for r in got if r["kind"] == k]).reshape(-1, WIDTH) for k in range(3)}
+    del got
     net = Network()
     nn_pu(net, x[1], x[2] if len(x[2]) else np.concatenate([x[0], x[1]]), min(float(prior), 0.99))
     # both labels in the proportion that they have
@@ -187,7 +197,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
                 p = net.probability(features(part.column("text"))) if net else np.full(part.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return source.mapInArrow(run, T.StructType([*source.select(*keep).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return source.mapInArrow(common.released(run), T.StructType([*source.select(*keep).schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
