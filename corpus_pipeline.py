@@ -45,8 +45,12 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a row for each pass over a document, whose text is cut where the pass ends. Documents that no pass takes from go."""
-    mixed = mixing.mix(docs, payload=True).select("size", "row", F.explode("passes").alias("words")).where("words > 0")
+    """What the mix takes, in the order of the mix: a row for each pass over a document, whose text is cut where the pass ends. Documents that no pass takes from go."""
+    taken = F.explode(F.arrays_zip(F.col("passes").alias("words"), F.col("places").alias("slot"))).alias("pass")
+    mixed = mixing.mix(docs, payload=True).select("size", "row", "n_slots", taken).select("size", "row", "n_slots", "pass.*").where("words > 0")
+    # slots hold equally many words, and so do ranges of them
+    tasks = common.parts(spark)
+    mixed = mixed.repartitionById(tasks, F.expr(f"cast(slot * {tasks} div n_slots as int)")).sortWithinPartitions("slot", F.xxhash64("row"))
     text = F.when(F.col("words") < F.col("size"), F.expr(r"array_join(slice(filter(split(row.text, '[\\x20\\x09-\\x0D]+'), w -> w != ''), 1, cast(words as int)), ' ')")).otherwise(F.col("row.text"))
     cut = F.col("words") < F.col("size")
     mixed = mixed.withColumn("text", text).select("text", cut.alias("cut"), "row")

@@ -2,7 +2,8 @@
 
 Each source gets a target number of words. The mix is a sequence of slots, each a block of equally many words: slot i takes the golden-ratio point
 frac(i * phi), which cumulative weights map to a source. Slots are ranked per source, and the r-th slot of a source takes the r-th block of its
-shuffled documents, laid end to end. All of it is DataFrame operations; a source with a third of all rows is ranked in many tasks.
+shuffled documents, laid end to end. Each pass over a document is told with the slot where it begins, which is its place in the mix. All of it is DataFrame
+operations; a source with a third of all rows is ranked in many tasks.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: 2**32 / golden ratio, made odd: multiples of it modulo 2**32 are the golden-ratio points.
-PHI32 = 2654435769
+#: 2**48 / golden ratio, made odd: multiples of it modulo 2**48 are the golden-ratio points.
+PHI48 = 173961102589771
 #: Rows of under 100 bytes up to which the documents' takes are sent to all tasks instead of being joined by a shuffle.
 SEND_ROWS = 300_000
 
@@ -56,9 +57,10 @@ def schedule(quotas: DataFrame, total: int, chunk: int = 4096) -> DataFrame:
     spark = quotas.sparkSession
     before = W.orderBy("source_no").rowsBetween(W.unboundedPreceding, -1)
     ranges = quotas.where("slots > 0").withColumn("lo", F.coalesce(F.sum("slots").over(before), F.lit(0))).withColumn("hi", F.col("lo") + F.col("slots"))
-    cell = max(1, total // 4096)
+    cell = max(1, total // max(4096, 4 * quotas.count()))  # few ranges in each cell, however many sources
     ranges = ranges.select("source_no", "slots", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {cell}"), F.expr(f"(hi - 1) div {cell}"))).alias("cell"))
-    points = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"shiftright(((id * {PHI32}L) % 4294967296L) * {total}L, 32)").alias("point"))
+    share = F.expr(f"cast(cast(id as decimal(20, 0)) * cast({PHI48} as decimal(15, 0)) % cast({1 << 48} as decimal(15, 0)) as double)") / float(1 << 48)
+    points = spark.range(total).select(F.col("id").alias("slot"), F.floor(share * total).alias("point"))
     points = points.withColumn("cell", F.expr(f"point div {cell}"))
     drawn = points.join(ranges, "cell").where("point >= lo and point < hi").select("slot", "source_no", "slots", F.expr(f"slot div {chunk}").alias("chunk"))
     ranked = common.materialize(_running(drawn, "source_no", "chunk", ["slot"], F.lit(1), "rank").select("slot", "source_no", "slots", "rank"), "slots", narrow=True)
@@ -72,10 +74,10 @@ def schedule(quotas: DataFrame, total: int, chunk: int = 4096) -> DataFrame:
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block_words: int = 1024, seed: int = 20, payload: bool = False) -> DataFrame:
-    """Returns doc_id, size, source_size, target, taken and passes: how many words of the document each pass over its source takes (its first words).
+    """Returns doc_id, size, source_size, target, taken, passes, places and n_slots: how many words of the document each pass over its source takes (its first words), the slot of n_slots in which they begin (null where a pass takes none).
 
     payload=True adds row, a struct of all columns of docs. Words are runs other than space and tab to carriage return; a null text has none. Blocks have
-    block_words words (more where slots would exceed 2**30). Documents are shuffled by a hash of their id; rows that agree in id and size are alike.
+    block_words words. Documents are shuffled by a hash of their id; rows that agree in id and size are alike.
     A null source is a source, the last one; a null id is an id like any other. Empty texts and empty tables take nothing.
     """
     spark = docs.sparkSession
@@ -83,8 +85,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     sized = common.materialize(docs.select(*cols), "sized", narrow=True)
     rowed = docs.select(*cols, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if payload else sized
     plan = common.materialize(targets(sized.select("source", "size"), weights, share, most).coalesce(1), "targets")
-    words, rows = plan.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0], sized.count()
-    block = max(block_words, int(words // (1 << 30)) + 1)
+    rows, block = sized.count(), block_words
     # a pass takes whole blocks and a last part of one; the second pass begins with block 0 again
     plan = plan.withColumn("take", F.least(F.floor("target"), most * F.col("source_size"))).withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
     whole = F.expr("case when source_size > 0 then take div source_size else 0 end")
@@ -94,11 +95,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     slots = schedule(plan.select("source_no", "slots"), total)
     by_block = slots.join(plan.select("source_no", "source_size", "blocks", "whole", "rest"), "source_no").select(
         "source_no",
+        "slot",
         F.expr("rank % blocks").alias("block"),
         F.expr("rank div blocks").alias("pass"),
         F.when(F.expr("rank div blocks < whole"), F.lit(block).cast("long")).otherwise(F.least(F.lit(block).cast("long"), F.col("rest") - F.expr("rank % blocks") * block)).alias("words"),
     )
-    by_block = by_block.groupBy("source_no", "block").agg(F.array_agg(F.struct("pass", "words")).alias("uses"))
+    by_block = by_block.groupBy("source_no", "block").agg(F.array_agg(F.struct("pass", "words", "slot")).alias("uses"))
 
     groups = max(1, min(1 << 20, rows // 256))
     hashed = rowed.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("group", F.expr(f"shiftright(shiftrightunsigned(h, 34) * {groups}L, 30)"))
@@ -111,19 +113,22 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     begin, end = F.greatest(F.col("offset") - F.col("block") * block, F.lit(0)), F.least(F.col("offset") + F.col("size") - F.col("block") * block, F.lit(block))
     used = spans.withColumn("b", begin).withColumn("e", end).join(by_block, ["source_no", "block"], "left")
     per_pass = [F.expr(f"sum(aggregate(uses, 0L, (a, u) -> a + case when u.pass = {k} then greatest(least(u.words, e) - b, 0L) else 0L end))") for k in range(most)]
-    taken = F.array(*[F.coalesce(F.col(f"p{k}"), F.lit(0)).cast("long") for k in range(most)])
+    begins = [F.expr(f"min(aggregate(uses, cast(null as bigint), (a, u) -> case when u.pass = {k} and least(u.words, e) > b then least(a, u.slot) else a end))") for k in range(most)]
+    taken = F.array(*[F.coalesce(F.col(f"p{k}"), F.lit(0)).cast("long") for k in range(most)]).alias("passes")
+    places = F.array(*[F.col(f"s{k}") for k in range(most)]).alias("places")
     kept = ["doc_id", "size", "source_size", "target"] + ["row"] * payload
-    used = used.groupBy("uid").agg(*[x.alias(f"p{k}") for k, x in enumerate(per_pass)])
+    used = used.groupBy("uid").agg(*[x.alias(f"{n}{k}") for n, of in (("p", per_pass), ("s", begins)) for k, x in enumerate(of)])
     if payload:
         used = common.materialize(used, "used", narrow=True)
         used = F.broadcast(used) if used.count() <= SEND_ROWS else used
-        out = laid.join(used, "uid", "left").select(*kept, taken.alias("passes"))
+        out = laid.join(used, "uid", "left").select(*kept, taken, places)
     else:
-        none = laid.where("size = 0").select(*kept, F.array(*[F.lit(0).cast("long")] * most).alias("passes"))
+        none = laid.where("size = 0").select(*kept, F.array(*[F.lit(0).cast("long")] * most).alias("passes"), F.array(*[F.lit(None).cast("long")] * most).alias("places"))
         tops = plan.select("source_no", "source_size", "target")
-        out = used.withColumn("source_no", F.col("uid.source_no")).join(tops, "source_no").select(F.col("uid.doc_id"), F.col("uid.size"), "source_size", "target", taken.alias("passes")).unionByName(none)
-    return out.withColumn("taken", F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x))
+        out = used.withColumn("source_no", F.col("uid.source_no")).join(tops, "source_no").select(F.col("uid.doc_id"), F.col("uid.size"), "source_size", "target", taken, places).unionByName(none)
+    return out.withColumn("taken", F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x)).withColumn("n_slots", F.lit(total).cast("long"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.col("passes")[0].alias("first_pass"), F.col("passes")[1].alias("second_pass")).coalesce(common.few(spark))
+    passes = [F.col(c)[k].alias(n) for c, names in (("passes", ("first_pass", "second_pass")), ("places", ("first_slot", "second_slot"))) for k, n in enumerate(names)]
+    return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", *passes).coalesce(common.few(spark))
