@@ -17,15 +17,14 @@ def step(x: np.ndarray, h: np.ndarray, wh: np.ndarray, keep: list | None = None)
     return n + z * (h - n)
 
 
-def back(dh: np.ndarray, kept: tuple, wh: np.ndarray, dwh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients of the inputs and of the state before a step, from that of the state after it; dwh is added to."""
+def back(dh: np.ndarray, kept: tuple, wh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the inputs, of the state before a step and of its product with wh, from that of the state after it."""
     h, z, r, n, an = kept
     dn = dh * (1 - z) * (1 - n * n)
     dz = dh * (h - n) * z * (1 - z)
     dr = dn * an * r * (1 - r)
     da = np.concatenate([dz, dr, dn * r], 1)
-    dwh += h.T @ da
-    return np.concatenate([dz, dr, dn], 1), dh * z + da @ wh.T
+    return np.concatenate([dz, dr, dn], 1), dh * z + da @ wh.T, da
 
 
 class Adam:

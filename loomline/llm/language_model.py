@@ -24,16 +24,23 @@ HEAD = 8190
 CLASSES, DIM, HIDDEN = 96, 24, 24
 #: A shard has about so many tokens.
 SHARD_TOKENS = 1_000_000
-MAX_SHARDS = 1024
 LANES, STEPS, RATE = 256, 16, 1e-2
 #: All texts are gone through once; if they have fewer tokens than this together, more often, up to MAX_EPOCHS times.
 EPOCH_TOKENS, MAX_EPOCHS = 1_000_000, 4
+#: Rows of a window up to which a class is computed together with others.
+TOGETHER = 128
+#: Tokens whose probabilities are computed at once.
+SCORED_AT_ONCE = 20_000
 END, OTHER = 0, 1  # symbols; head words follow by falling count
 #: Tokens whose states are held before the flow of a task goes on.
 HELD_TOKENS = 6_000_000
+#: Texts whose sums over words outside the head a task holds before it sends them on.
+HELD_TEXTS = 2_000_000
 LN10 = np.log(10.0)
 COUNT = np.dtype([("h", "<u8"), ("c", "<i8")])
 USE = np.dtype([("h", "<u8"), ("doc", "<u4"), ("n", "<u4")])
+#: Of a text's words outside the head that a task has looked up: how many are known, and the logarithms of their shares of all tokens and of those outside the head.
+TAIL = np.dtype([("doc", "<u4"), ("known", "<u4"), ("base", "<f8"), ("share", "<f8")])
 
 
 def _bounded(w: np.ndarray, b: np.ndarray) -> bool:
@@ -69,7 +76,7 @@ class Model:
         return self.e @ self.wx + self.bx
 
     def log_probability(self, h: np.ndarray, y: np.ndarray, grads: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of symbols y after states h; with grads, those of cw, cb, ow, ob for the summed negative one are added to, and dh is returned."""
+        """Natural log probability of symbols y after states h; with grads, those of cw, cb, ow, ob for the summed negative one are set (they are zero before), and dh is returned."""
         cls, within = y // self.size, y % self.size
         # in the order of classes, so that each one's rows are a slice; states are within -1..1, so exp() needs no shift unless weights have grown very large
         order = np.argsort(cls.astype(np.uint8), kind="stable")
@@ -86,27 +93,40 @@ class Model:
         if grads is not None:
             a *= (1 / sums)[:, None]
             a[rows, cls] -= 1
-            grads[0] += h.T @ a
-            grads[1] += np.ones(len(y), np.float32) @ a
+            np.matmul(h.T, a, out=grads[0])
+            np.matmul(np.ones(len(y), np.float32), a, out=grads[1])
             dh = a @ self.cw.T
-        fine, ones = _bounded(self.ow, self.ob), np.ones(self.size, np.float32)
-        for k in np.flatnonzero(np.diff(bounds)):
-            part = slice(bounds[k], bounds[k + 1])
-            n, w = rows[: part.stop - part.start], within[part]
-            b = h[part] @ self.ow[k]
-            b += self.ob[k]
+        fine, ones, counts = _bounded(self.ow, self.ob), np.ones(self.size, np.float32), np.diff(bounds)
+        # classes with few rows are computed together, those with up to twice as many rows at a time; the rows that they lack are left out of all sums
+        groups = np.where(counts > TOGETHER, CLASSES + np.arange(CLASSES), np.ceil(np.log2(np.maximum(counts, 1))).astype(int))
+        for g in np.unique(groups[counts > 0]):
+            ks = np.flatnonzero((groups == g) & (counts > 0))
+            n = counts[ks]
+            if len(ks) == 1:
+                j, i, at, ks = 0, rows[: n[0]], slice(bounds[ks[0]], bounds[ks[0] + 1]), slice(ks[0], ks[0] + 1)
+                hs = h[at][None]
+            else:
+                j, i = np.nonzero(np.arange(n.max()) < n[:, None])
+                at = bounds[ks][j] + i
+                hs = np.zeros((len(ks), n.max(), HIDDEN), np.float32)
+                hs[j, i] = h[at]
+            ow, w = self.ow[ks], within[at]
+            b = hs @ ow
+            b += self.ob[ks][:, None]
             if not fine:
-                b -= b.max(1, keepdims=True)
-            own = b[n, w]
+                b -= b.max(2, keepdims=True)
+            own = b[j, i, w]
             np.exp(b, out=b)
             sums = b @ ones
-            out[part] += own - np.log(sums)
+            out[at] += own - np.log(sums[j, i])
             if grads is not None:
-                b *= (1 / sums)[:, None]
-                b[n, w] -= 1
-                grads[2][k] += h[part].T @ b
-                grads[3][k] += np.ones(len(n), np.float32) @ b
-                dh[part] += b @ self.ow[k].T
+                scale = np.zeros_like(sums)
+                scale[j, i] = 1 / sums[j, i]
+                b *= scale[:, :, None]
+                b[j, i, w] -= 1
+                grads[2][ks] = hs.transpose(0, 2, 1) @ b
+                grads[3][ks] = np.ones(b.shape[1], np.float32) @ b
+                dh[at] += (b @ ow.transpose(0, 2, 1))[j, i]
         back = np.empty_like(order)
         back[order] = rows
         return out[back], None if dh is None else dh[back]
@@ -139,15 +159,17 @@ class Model:
                 all_grads.fill(0)
                 _, dh_out = self.log_probability(states.reshape(-1, HIDDEN), ys.ravel(), grads[4:])
                 dh_out = dh_out.reshape(len(xs), lanes, HIDDEN)
-                dh, dproj = np.zeros((lanes, HIDDEN), np.float32), np.empty_like(proj)
+                dh, dproj, dstate = np.zeros((lanes, HIDDEN), np.float32), np.empty_like(proj), np.empty_like(proj)
                 for t in range(len(xs) - 1, -1, -1):
-                    dproj[t], dh = gru.back(dh + dh_out[t], kept[t], self.wh, grads[3])
+                    dproj[t], dh, dstate[t] = gru.back(dh + dh_out[t], kept[t], self.wh)
                     dh *= alive[t]
+                grads[3] += np.concatenate([k[0] for k in kept]).T @ dstate.reshape(-1, 3 * HIDDEN)
                 dproj = dproj.reshape(-1, 3 * HIDDEN)
                 grads[1] += inputs.T @ dproj
                 grads[2] += dproj.sum(0)
-                order = np.argsort(xs.ravel(), kind="stable")
-                used = xs.ravel()[order]
+                symbol = xs.ravel().astype(np.uint16)
+                order = np.argsort(symbol, kind="stable")
+                used = symbol[order]
                 first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
                 grads[0][used[first]] += np.add.reduceat((dproj @ self.wx.T)[order], first)
                 adam.update(all_grads, 1 / ys.size)
@@ -167,11 +189,11 @@ class Model:
             ys.append(last)
             docs.append(order[:k])
             held += k
-            if held >= 20_000 or t == len(alive) - 1:
+            if held >= SCORED_AT_ONCE or t == len(alive) - 1:
                 s, y, d = (np.concatenate(v) for v in (states, ys, docs))
-                for b in range(0, held, 20_000):
-                    p, _ = self.log_probability(s[b : b + 20_000], y[b : b + 20_000])
-                    out += np.bincount(d[b : b + 20_000], p, len(out))
+                for b in range(0, held, SCORED_AT_ONCE):
+                    p, _ = self.log_probability(s[b : b + SCORED_AT_ONCE], y[b : b + SCORED_AT_ONCE])
+                    out += np.bincount(d[b : b + SCORED_AT_ONCE], p, len(out))
                 states, ys, docs, held = [], [], [], 0
         return out / LN10
 
@@ -231,8 +253,8 @@ def counts(training: DataFrame, buckets: int) -> DataFrame:
             top = x[np.lexsort((x["h"], -x["c"]))[:HEAD]]
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([len(x)], pa.int64()), pa.array([int(x["c"].sum())], pa.int64()), pa.array([[{"h": h, "c": c} for h, c in zip(top["h"].view(np.int64).tolist(), top["c"].tolist())]], pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())])))], ["bucket", "data", "n_distinct", "total", "top"])
 
-    sent = training.select("text").mapInArrow(count, "bucket long, data binary").repartition(parts, "bucket")
-    return common.materialize(sent.mapInArrow(reduce, "bucket long, data binary, n_distinct long, total long, top array<struct<h: long, c: long>>"), "counts")
+    sent = training.select("text").mapInArrow(common.released(count), "bucket long, data binary").repartition(parts, "bucket")
+    return common.materialize(sent.mapInArrow(common.released(reduce), "bucket long, data binary, n_distinct long, total long, top array<struct<h: long, c: long>>"), "counts")
 
 
 class Head:
@@ -259,7 +281,8 @@ def _with_ends(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def trained(training: DataFrame, head: Head, model: Model, tokens: int) -> Model:
     """model after training on all texts. The first shard warms it up; then all shards start from that, and their parameters are averaged in the proportion of their tokens."""
-    shards = max(1, min(MAX_SHARDS, tokens // SHARD_TOKENS))
+    shards = max(1, tokens // SHARD_TOKENS)
+    tasks = min(shards, 4 * common.parts(training.sparkSession))
     epochs = max(1, min(MAX_EPOCHS, EPOCH_TOKENS // max(tokens, 1)))
     mine = training.select("text", F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(shards)).alias("shard"))
 
@@ -275,20 +298,32 @@ def trained(training: DataFrame, head: Head, model: Model, tokens: int) -> Model
 
     def learn(start: Model):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list[bytes]] = {}
-            for batch in batches:
-                for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    held.setdefault(k, []).append(x)
-            for k in list(held):
+            """Trains on one shard after another; gives the mean of the task's shards, by tokens, and how many tokens they have."""
+            total, weight, first, held = 0.0, 0.0, None, []
+
+            def shard() -> None:
+                nonlocal total, weight
                 m = Model.__new__(Model)
                 m.__dict__ |= {n: v.copy() if isinstance(v, np.ndarray) else v for n, v in start.__dict__.items()}
-                stream = np.frombuffer(b"".join(held.pop(k)), "<u2")
+                stream = np.frombuffer(b"".join(held), "<u2")
+                held.clear()
                 texts = np.split(stream, np.flatnonzero(stream == END) + 1)
                 stream = np.concatenate(sorted(texts, key=lambda x: x.tobytes())).astype(np.int64)
                 m.train(stream, epochs)
-                flat = np.concatenate([p.ravel() for p in m.params()])
-                for c, x in enumerate(np.array_split(flat, 16)):
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([k], pa.int32()), pa.array([float(len(stream))]), pa.array([x.tobytes()], pa.binary())], ["chunk", "shard", "weight", "data"])
+                total = total + len(stream) * np.concatenate([p.ravel() for p in m.params()]).astype(np.float64)
+                weight += len(stream)
+
+            last = None
+            for batch in batches:
+                for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if held and k != last:
+                        shard()
+                    first, last = k if first is None else first, k
+                    held.append(x)
+            if held:
+                shard()
+                for c, x in enumerate(np.array_split((total / weight).astype(np.float32), 16)):
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([first], pa.int64()), pa.array([weight]), pa.array([x.tobytes()], pa.binary())], ["chunk", "shard", "weight", "data"])
 
         return run
 
@@ -303,8 +338,9 @@ def trained(training: DataFrame, head: Head, model: Model, tokens: int) -> Model
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([(s / w).astype(np.float32).tobytes()], pa.binary())], ["chunk", "data"])
 
     for rows in (mine.where("shard = 0"), mine) if shards > 1 else (mine,):
-        n = 1 if rows is not mine else shards
-        got = rows.mapInArrow(send, "shard long, data binary").repartition(n, "shard").mapInArrow(learn(model), "chunk int, shard int, weight double, data binary").repartition(16, "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(average, "chunk int, data binary").collect()  # one model
+        sent = rows.mapInArrow(common.released(send), "shard long, data binary").repartition(1 if rows is not mine else tasks, "shard").sortWithinPartitions("shard")
+        sent = sent.mapInArrow(common.released(learn(model)), "chunk int, shard long, weight double, data binary").repartition(16, "chunk").sortWithinPartitions("chunk", "shard")
+        got = sent.mapInArrow(common.released(average), "chunk int, data binary").collect()  # one model
         if len(got) == 16:
             flat = np.concatenate([np.frombuffer(r["data"], np.float32) for r in sorted(got, key=lambda r: r["chunk"])])
             at = 0
@@ -385,8 +421,19 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         yield from flush()
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, table = None, np.zeros(0, COUNT)
+        bucket, table, size = None, np.zeros(0, COUNT), 0
         sums: dict[int, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for flow, s in sums.items():
+                doc = np.flatnonzero(s[1])
+                out = np.zeros(len(doc), TAIL)
+                out["doc"], out["known"], out["base"], out["share"] = doc, s[0, doc], s[1, doc], s[2, doc]
+                yield pa.RecordBatch.from_arrays([pa.array([flow], pa.int64()), pa.array([1], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["flow", "kind", "data"])
+            sums.clear()
+            size = 0
+
         for batch in batches:
             for b, kind, flow, x in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if b != bucket:
@@ -400,15 +447,17 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                     at = np.minimum(np.searchsorted(table["h"], uses["h"]), max(len(table) - 1, 0))
                     c = np.where(table["h"][at] == uses["h"], table["c"][at], 0) if len(table) else np.zeros(len(uses))
                     n = int(uses["doc"].max()) + 1
-                    own = np.stack([np.bincount(uses["doc"], v, n) for v in (c > 0, np.log10((c + 0.5) / (total + 0.5 * (kinds + 1))), np.log10((c + 0.5) / (tail_total + 0.5 * (tail_kinds + 1))))])
                     old = sums.get(flow)
+                    size += n - (0 if old is None else min(n, old.shape[1]))
+                    own = np.stack([np.bincount(uses["doc"], v, n) for v in (c > 0, np.log10((c + 0.5) / (total + 0.5 * (kinds + 1))), np.log10((c + 0.5) / (tail_total + 0.5 * (tail_kinds + 1))))])
                     if old is not None and old.shape[1] < n:
                         old, own = own, old
                     if old is not None:
                         old[:, : own.shape[1]] += own
                     sums[flow] = own if old is None else old
-        for flow, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([flow], pa.int64()), pa.array([1], pa.int32()), pa.array([s.tobytes()], pa.binary())], ["flow", "kind", "data"])
+                    if size > HELD_TEXTS:
+                        yield from flush()
+        yield from flush()
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, pa.Table] = {}
@@ -418,15 +467,13 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
                 if kind == 2:
                     tables[flow] = pa.ipc.open_stream(x).read_all()
                     continue
-                own = np.frombuffer(x).reshape(3, -1)
-                old = sums.get(flow)
-                if old is None or old.shape[1] < own.shape[1]:
-                    grown = own.copy()
-                    if old is not None:
-                        grown[:, : old.shape[1]] += old
-                    sums[flow] = grown
-                else:
-                    old[:, : own.shape[1]] += own
+                own = np.frombuffer(x, TAIL)  # a text is in it once
+                old = sums.get(flow, np.zeros((3, 0)))
+                if len(own) and old.shape[1] <= own["doc"][-1]:
+                    old = np.pad(old, ((0, 0), (0, int(own["doc"][-1]) + 1 - old.shape[1])))
+                for k, name in enumerate(("known", "base", "share")):
+                    old[k, own["doc"]] += own[name]
+                sums[flow] = old
         for flow, t in tables.items():
             s = np.zeros((3, t.num_rows))
             if flow in sums:
@@ -438,10 +485,10 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             ).combine_chunks().to_batches()
 
     tables = counted.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("flow"), "data")
-    sent = plain.mapInArrow(first, "bucket long, kind int, flow long, data binary").union(tables)
-    sent = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(second, "flow long, kind int, data binary")
+    sent = plain.mapInArrow(common.released(first), "bucket long, kind int, flow long, data binary").union(tables)
+    sent = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(common.released(second), "flow long, kind int, data binary")
     schema = T.StructType([docs.select(F.col(doc_id).alias("doc_id")).schema[0], T.StructField("held_out", T.BooleanType()), *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return sent.repartition(parts, "flow").mapInArrow(third, schema)
+    return sent.repartition(parts, "flow").mapInArrow(common.released(third), schema)
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
