@@ -32,6 +32,12 @@ FOUND, OPEN, WITNESS = 0, 1, 2
 RECORD = np.dtype([("key", "<i8"), ("kind", "<u4"), ("s", "<u4"), ("n", "<u4")])
 SPAN = np.dtype([("kind", "<u4"), ("s", "<u4"), ("n", "<u4")])
 POSITION = np.uint64((1 << 28) - 1)
+#: Words of the shortest passage that is told of beside what is removed: over 50, of which many have fewer than 400 bytes.
+PASSAGE_WORDS = 51
+#: Windows of a longer text that are worked on at once.
+SLICE = 1 << 22
+#: Rows of packed entries in a batch that a task sends.
+SENT_ROWS = 16
 #: Rows and bytes up to which the documents found are sent to all tasks instead of being joined by a shuffle.
 SEND_ROWS, SEND_BYTES = 1_000_000, 16 << 20
 
@@ -225,7 +231,7 @@ def _by_document(found: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
         for b in range(0, len(cut), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(keys[cut[b : b + 4096]]), pa.array(packed[b : b + 4096], pa.binary())], ["key", "packed"])
 
-    return found.repartition(common.parts(found.sparkSession), "bucket").mapInArrow(run, "key long, packed binary")
+    return found.repartitionById(common.parts(found.sparkSession), F.col("bucket").cast("int")).mapInArrow(common.released(run), "key long, packed binary")
 
 
 def _outcome(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +253,7 @@ def _outcome(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _indexed(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.ndarray]], label: str) -> DataFrame:
     """bucket, data: RECORDs of what the families have found. rows go through entries() task by task; its entries are dealt by fingerprint, results by document."""
     spark = rows.sparkSession
-    buckets = 4 * common.parts(spark)
+    buckets = common.parts(spark)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [e for batch in batches for e in entries(batch)]
@@ -257,8 +263,10 @@ def _indexed(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.nd
         order = np.argsort(to, kind="stable")
         kept, to = kept[order], to[order]
         cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
-        if len(cut):
-            yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int64()), pa.array([False] * len(cut)), pa.array([x.tobytes() for x in np.split(kept, cut[1:])], pa.binary())], ["bucket", "result", "data"])
+        parts = np.split(kept, cut[1:]) if len(cut) else []
+        for b in range(0, len(parts), SENT_ROWS):
+            own = [x.tobytes() for x in parts[b : b + SENT_ROWS]]
+            yield pa.RecordBatch.from_arrays([pa.array(to[cut[b : b + SENT_ROWS]], pa.int64()), pa.array([False] * len(own)), pa.array(own, pa.binary())], ["bucket", "result", "data"])
         done = _records(found, FOUND, buckets)
         if done.num_rows:
             yield pa.RecordBatch.from_arrays([done.column(0), pa.array([True] * done.num_rows), done.column(1)], ["bucket", "result", "data"])
@@ -275,13 +283,14 @@ def _indexed(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[np.nd
         if out.num_rows:
             yield out
 
-    sent = rows.mapInArrow(send, "bucket long, result boolean, data binary").repartition(common.parts(spark), "bucket")
-    return common.materialize(sent.mapInArrow(index, "bucket long, data binary"), label)
+    sent = rows.mapInArrow(common.released(send), "bucket long, result boolean, data binary").repartitionById(buckets, F.col("bucket").cast("int"))
+    return common.materialize(sent.mapInArrow(common.released(index), "bucket long, data binary"), label)
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+def _with_spans(docs: DataFrame, spans: DataFrame, how: str, packed: tuple[str, ...] = ("packed",)) -> DataFrame:
     """docs joined with key, spans: sent to all tasks if few and short, which is looked up first; else both sides are shuffled."""
-    size = spans.agg(F.count("*"), F.coalesce(F.sum(F.length("packed")), F.lit(0))).first()
+    length = sum((F.coalesce(F.length(c), F.lit(0)) for c in packed), F.lit(0))
+    size = spans.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
     return docs.join(F.broadcast(spans) if size[0] <= SEND_ROWS and size[1] <= SEND_BYTES else spans, "key", how)
 
 
@@ -300,7 +309,15 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, words: bool
     def run_entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in common.pieces(batch, "text", 1 << 18):
             data, at = _units(part.column(1), words)
-            yield runs(data, at, part.column(0).to_numpy(), length)
+            keys = part.column(0).to_numpy()
+            if len(data) <= SLICE or len(keys) > 1:
+                yield runs(data, at, keys, length)
+                continue
+            for b in range(0, len(data) - length + 1, SLICE):  # a run that is cut here is compared with others window by window
+                own = data[b : b + SLICE + length - 1]
+                e = runs(own, np.array([0, len(own)]), keys, length)
+                e["s"] += b
+                yield e
 
     first = _indexed(source, run_entries, "runs")
     asked = common.materialize(_by_document(first, (OPEN, WITNESS)), "asked")
@@ -346,19 +363,24 @@ def word_bytes(gone: np.ndarray, begin: np.ndarray, end: np.ndarray, n_bytes: in
     return np.cumsum(d[:-1]) > 0
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 400, payload: bool = False, words: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 400, payload: bool = False, words: bool = False, passage: int = 0) -> DataFrame:
     """Removes each byte that a string of `length` bytes covers which also begins elsewhere, in this document or another.
 
     With words=True it removes each word that a string of `length` words covers which also begins elsewhere, whatever stands between the words.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; payload=True adds row, a struct of docs' columns but the text, and kept, the rest of the text, where a
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256. A passage above 0 adds n_passage_words: words that a string of so many words covers which also
+    begins elsewhere (they are counted, not removed). payload=True adds row, a struct of docs' columns but the text, and kept, the rest of the text, where a
     character that a removal cut is dropped (the digest is of all bytes kept). A null text is empty. Rows that repeat are copies of each other, so all their text
     goes (if it is long enough). Columns are kept in row, so no name can clash. An empty table gives no rows.
     """
     common.tune(docs.sparkSession)
     spans = repeats(docs, text, length, words)
+    if passage:
+        said = repeats(docs, text, passage, True).select("key", F.col("packed").alias("said"), F.col("copies").alias("said_copies"))
+        spans = common.materialize(spans.join(said, "key", "full"), "spans")
+    more = ["said", "said_copies"] * bool(passage)
     source = docs.select(F.xxhash64(F.col(text).cast("string")).alias("key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")] * payload)
-    both = _with_spans(source, spans, "left").select("doc_id", "text", "packed", "copies", *["row"] * payload)
+    both = _with_spans(source, spans, "left", ("packed", *more[:1])).select("doc_id", "text", "packed", "copies", *["row"] * payload, *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,11 +400,14 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", len
                 if payload:
                     kept.append(whole_characters(data[b:e], gone))
             out = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs_, pa.int64()), pa.array(sha, pa.string())]
+            if passage:
+                of = [(data[b:e], *x) for b, e, *x in zip(at[:-1], at[1:], batch.column("said").to_pylist(), batch.column("said_copies").to_pylist())]
+                out.append(pa.array([int(covered(len(common.words_of(t, np.array([0, len(t)]))[0]), x, copies, passage).sum()) if x or copies else 0 for t, x, copies in of], pa.int64()))
             yield pa.RecordBatch.from_arrays([*out, *([batch.column(4), pa.array(kept, pa.string())] if payload else [])], schema.names)
 
     figures = [F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")]
-    schema = both.select("doc_id", *figures, F.lit("").alias("kept_sha256"), *(["row", F.lit("").alias("kept")] if payload else [])).schema
-    return both.mapInArrow(run, schema)
+    schema = both.select("doc_id", *figures, F.lit("").alias("kept_sha256"), *[F.lit(0).cast("long").alias("n_passage_words")] * bool(passage), *(["row", F.lit("").alias("kept")] if payload else [])).schema
+    return both.mapInArrow(common.released(run), schema)
 
 
 def whole_characters(text: np.ndarray, gone: np.ndarray | None) -> str:
@@ -396,4 +421,4 @@ def whole_characters(text: np.ndarray, gone: np.ndarray | None) -> str:
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    return deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return deduplicate(docs, passage=PASSAGE_WORDS).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
