@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,25 @@ def test_op2_schedule_is_of_low_discrepancy(spark):
         assert abs(np.cumsum(got.source_no == s) - share * np.arange(1, 1001)).max() < 6
 
 
+def test_op2_slots_decide_the_mix(spark, monkeypatch):
+    def mixed():
+        rows = corpus_pipeline.mix_sources(spark, common.documents(spark, DIR), DIR).collect()
+        return result(spark, "op2_mixing"), [r["source"] for r in rows]
+
+    got, order = mixed()
+    assert (got.first_slot.notna() == (got.first_pass > 0)).all() and (got.second_slot.notna() == (got.second_pass > 0)).all()
+    assert (got.second_slot > got.first_slot)[got.second_pass > 0].all()
+    # the rows of the mix are in the order of their slots: every source is spread over all of it
+    shares = pd.Series(order).value_counts(normalize=True)
+    for s in shares.index[:3]:
+        half = order[: len(order) // 2].count(s) / order.count(s)
+        assert 0.2 < half < 0.8
+    monkeypatch.setattr(mixing, "PHI48", 1 << 40 | 1)  # another sequence of points is another mix, of the same documents
+    other, other_order = mixed()
+    assert not other.first_slot.equals(got.first_slot) and other_order != order
+    assert other.taken.tolist() == got.taken.tolist() and sorted(other_order) == sorted(order)
+
+
 def test_op3_counts_and_base(spark, texts):
     got = result(spark, "op3_language_model")
     words = [[*WORD.findall(t.translate(FOLD)), None] for t in texts.text]
@@ -98,6 +118,20 @@ def test_op3_learns_from_every_training_text(spark):
     assert moved[head.symbols(h)].all()
 
 
+def test_op3_sums_of_many_flows_are_those_of_one(spark, monkeypatch):
+    docs = common.documents(spark, DIR).select("doc_id", "text")
+    monkeypatch.setattr(language_model, "trained", lambda training, head, model, tokens: model)
+    monkeypatch.setattr(language_model, "HEAD", 100)
+    scored = lambda: language_model.score(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = scored()
+    monkeypatch.setattr(language_model, "HELD_TEXTS", 3)
+    monkeypatch.setattr(language_model, "HELD_TOKENS", 500)
+    got = scored()
+    assert got.n_known.tolist() == want.n_known.tolist()
+    for c in ("score", "base_score"):
+        assert got[c].to_numpy() == pytest.approx(want[c].to_numpy(), rel=1e-5)
+
+
 def test_op4_equals_the_public_library(spark, texts):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL_PATH)
     got = result(spark, "op4_pieces")
@@ -196,7 +230,12 @@ def test_op6_round_trip_and_decoders(spark, texts):
         raw = t.encode()
         payload = raw + bytes(-len(raw) % 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
-    assert got.codec.nunique() == 3 if "codec" in got else True
+        file = media.wav(r.codec, payload)
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest())
+        pcm = media.decode([file])[0][2].astype(int).tolist()
+        crossings = sum((x < 0) != (y < 0) for x, y in zip(pcm, pcm[1:]))
+        assert r.feature == f"{r.codec}:{len(pcm)}:{max(map(abs, pcm))}:{crossings}:{sum(x * x for x in pcm)}"
+    assert got.codec.nunique() == 3
     assert media.MULAW[[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0] and media.ALAW[[0x55, 0xD5, 0xAA, 0x2A]].tolist() == [-8, 8, 32256, -32256]
     data = bytes(range(64)) * 3
     kind, back, pcm = media.decode([media.wav("adpcm", data)])[0]
@@ -260,6 +299,16 @@ def test_op9_windows(spark, texts):
         assert (r.n_removed, r.kept_sha256) == (gone.sum(), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
 
 
+def test_op9_passages_and_slices(spark, texts, monkeypatch):
+    got = result(spark, "op9_suffixes")
+    words = [WORD.findall(t) for t in texts.text]
+    c = collections.Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    want = [len({j for i in range(len(w) - 50) if c[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}) for w in words]
+    assert got.n_passage_words.tolist() == want
+    monkeypatch.setattr(suffixes, "SLICE", 700)  # long texts are indexed in slices
+    assert result(spark, "op9_suffixes").equals(got)
+
+
 def test_pipeline_removes_repeats_of_over_50_words(spark):
     rng = np.random.default_rng(8)
     some = lambda n: [f"{'abcdefghij'[i % 10]}{i if i > 999 else ''}" for i in rng.integers(0, 4000, n)]
@@ -326,7 +375,8 @@ def test_pipeline_keeps_its_promises(spark, texts):
             kept = {r["doc_id"] for r in nearcopies.near_copies(before).collect() if r["kept"]}
             assert {r["doc_id"] for r in docs.collect()} == kept
         if name == "suffix-array dedup":
-            assert suffixes.deduplicate(before).where("n_removed > 0").count() >= 0
+            assert suffixes.deduplicate(before, length=51, words=True).where("n_removed > 0").count() > 0
+            assert suffixes.deduplicate(docs, length=51, words=True).where("n_bytes > 0 and n_removed = n_bytes").count() == 0
             assert all(len(r["text"]) == r["n_chars"] for r in docs.collect())
     last = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
     assert last.count() == docs.count() and all(r["roundtrip"] for r in last.collect())
