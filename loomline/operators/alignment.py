@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .dealing import dealt
 
 # Fixed values of the cost model: probability of each kind of bead (blocks of a, blocks of b), in the order in which ties prefer it; variance per character;
 # what two headings together win, or one heading against text loses; cost of a skipped character and of a skipped heading.
@@ -28,6 +29,7 @@ DOUBT_RATIO, DOUBT_FLOOR = 0.25, 8.0
 
 STEPS = list(PRIORS)
 COSTS = [-100.0 * math.log(p) for p in PRIORS.values()]
+_erf = np.frompyfunc(math.erf, 1, 1)  # the tail's digits are those of the platform's erf
 BEADS = "pair_id string, status string, band int, attempts int, bead int, a_from int, a_n int, b_from int, b_n int, cost double, margin double"
 
 
@@ -35,8 +37,8 @@ def length_cost(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """-100 ln of the chance of a length at least as far from the mean. Uses 1 - cdf as it stands: its cliff past 8 deviations is part of the model."""
     mean = np.where(mean <= 0, 1.0, mean)
     z = np.abs((x - mean) / np.sqrt(mean * VARIANCE))
-    half = math.sqrt(2.0)
-    return np.array([-100.0 * math.log(max(2.0 * (1.0 - 0.5 * (1.0 + math.erf(v / half))), LEAST_PROBABILITY)) for v in z.tolist()])
+    tail = 2.0 * (1.0 - 0.5 * (1.0 + _erf(z / math.sqrt(2.0)).astype(float)))
+    return -100.0 * np.log(np.maximum(tail, LEAST_PROBABILITY))
 
 
 @dataclass
@@ -67,7 +69,10 @@ class Pair:
 
 
 def sweep(pair: Pair, lo: np.ndarray, hi: np.ndarray, choices: bool) -> tuple[list, list]:
-    """Least cost from (0, 0) to each cell with lo[i] <= j <= hi[i], diagonal by diagonal: (first i, costs) and, with choices, (first i, step taken)."""
+    """Least cost from (0, 0) to each cell with lo[i] <= j <= hi[i], diagonal by diagonal: (first i, costs) and, with choices, (first i, step taken).
+
+    With choices only the costs of the last four diagonals are kept, so that a cell holds the one byte that the ceiling counts.
+    """
     n, m = pair.n, pair.m
     rows = np.arange(n + 1)
     costs, taken = [], []
@@ -95,6 +100,8 @@ def sweep(pair: Pair, lo: np.ndarray, hi: np.ndarray, choices: bool) -> tuple[li
         costs.append((first, best))
         if choices:
             taken.append((first, step))
+            if d >= 4:
+                costs[d - 4] = None
     return costs, taken
 
 
@@ -164,23 +171,30 @@ def margins(pair: Pair, beads: list[tuple[int, int]], band: int = MARGIN_BAND) -
     back = Pair(pair.a_len[::-1], pair.b_len[::-1], pair.a_head[::-1], pair.b_head[::-1])
     backward, _ = sweep(back, m - hi[::-1], m - lo[::-1], False)
     first, last = forward[n + m]
-    total, out = last[n - first], []
-    for i, j in ends[1:].tolist():
-        best = math.inf
-        for c in range(int(lo[i]), int(hi[i]) + 1):
-            if c != j:
-                f0, f = forward[i + c]
-                b0, b = backward[n - i + m - c]
-                best = min(best, f[i - f0] + b[n - i - b0])
-        out.append(best - total if math.isfinite(best) and math.isfinite(total) else math.inf)
-    return out
+    total, width = last[n - first], hi - lo + 1
+    at = np.concatenate([[0], np.cumsum(width)])  # where each row's cells begin
+    through = np.full(at[-1], np.inf)
+    for d, (f0, f) in enumerate(forward):
+        i = np.arange(f0, f0 + len(f))
+        through[at[i] + d - i - lo[i]] = f
+    for d, (b0, f) in enumerate(backward):
+        i = n - np.arange(b0, b0 + len(f))
+        through[at[i] + (m - d) + (n - i) - lo[i]] += f
+    best = np.minimum.reduceat(through, at[:-1])
+    cells = np.flatnonzero(through == np.repeat(best, width))
+    place = cells[np.searchsorted(cells, at[:-1])]  # the first best cell of each row
+    through[place] = np.inf
+    second = np.minimum.reduceat(through, at[:-1])
+    i, j = ends[1:].T
+    other = np.where(at[i] + j - lo[i] == place[i], second[i], best[i])
+    return np.where(np.isfinite(other) & math.isfinite(total), other - total, math.inf).tolist()
 
 
 def align(a: DataFrame, b: DataFrame, ceiling: int = CORRIDOR_BYTES, confidence: bool = True) -> DataFrame:
     """a, b: pair_id, seq, tag, frag. One row per bead; a pair that exceeds the ceiling has one row without a bead and status too_big.
 
     Only lengths and heading flags go to Python. A pair is one task's work and grows with the product of a side and the corridor's width, which the ceiling
-    bounds; pairs are dealt by key, so many small ones share tasks.
+    bounds; pairs are dealt by key to a fixed number of tasks, whatever their bytes.
     """
 
     def narrow(df: DataFrame) -> DataFrame:
@@ -195,7 +209,7 @@ def align(a: DataFrame, b: DataFrame, ceiling: int = CORRIDOR_BYTES, confidence:
         rows = [(key[0], status, band, attempts, k, int(at[k][0]), x, int(at[k][1]), y, cost, s) for k, ((x, y), s) in enumerate(zip(beads, sure))]
         return pd.DataFrame(rows or [(key[0], status, band, attempts, None, None, None, None, None, cost, None)], columns=[c.split()[0] for c in BEADS.split(", ")]).astype({"bead": "Int32", "a_from": "Int32", "a_n": "Int32", "b_from": "Int32", "b_n": "Int32"})
 
-    return narrow(a).groupBy("pair_id").cogroup(narrow(b).groupBy("pair_id")).applyInPandas(run, BEADS)
+    return dealt(narrow(a), "pair_id").groupBy("pair_id").cogroup(dealt(narrow(b), "pair_id").groupBy("pair_id")).applyInPandas(run, BEADS)
 
 
 def doubtful(beads: DataFrame, ratio: float = DOUBT_RATIO, floor: float = DOUBT_FLOOR) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .dealing import dealt
 
 #: The tag that export files carry; pass another one to read and write files of a tool that has its own.
 FORMAT = "numbered-text/1"
@@ -108,7 +109,7 @@ def translate(exported: DataFrame, provider: Provider, cache: DataFrame | None =
         out = translate_batch(rows["text"].tolist(), provider, retries)
         return pd.DataFrame({"book": rows["book"], "i": rows["i"], "text": out, "status": ["failed" if x is None else "done" for x in out]})
 
-    return todo(exported, cache, batch).select("book", "batch", "i", "text").groupBy("book", "batch").applyInPandas(run, "book string, i int, text string, status string")
+    return dealt(todo(exported, cache, batch).select("book", "batch", "i", "text"), "book", "batch").groupBy("book", "batch").applyInPandas(run, "book string, i int, text string, status string")
 
 
 def in_order(exported: DataFrame, translated: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import extract
+from ..operators.dealing import dealt
 
 #: Archives larger than this are refused before they are read into a task.
 MAX_BYTES = 400 << 20
@@ -122,14 +123,14 @@ def blocks(books: DataFrame) -> DataFrame:
 
 
 def entries(files: DataFrame) -> DataFrame:
-    """path, is_zip, name, encrypted of every archive entry in order; a file that is no archive has one row without a name."""
+    """path, is_zip, name, encrypted (whether it says that others are) of every archive entry in order; a file that is no archive has one row without a name."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for path, content in zip(f["path"], f["content"]):
                 try:
-                    rows += [(path, True, i, x.filename, bool(x.flag_bits & 1)) for i, x in enumerate(zipfile.ZipFile(io.BytesIO(content or b"")).infolist())]
+                    rows += [(path, True, i, x.filename, x.filename.endswith("encryption.xml")) for i, x in enumerate(zipfile.ZipFile(io.BytesIO(content or b"")).infolist())]
                 except zipfile.BadZipFile:
                     rows.append((path, False, 0, None, False))
             yield pd.DataFrame(rows, columns=["path", "is_zip", "position", "name", "encrypted"])
@@ -138,9 +139,10 @@ def entries(files: DataFrame) -> DataFrame:
 
 
 def fingerprint(listed: DataFrame) -> DataFrame:
-    """listed: path, is_zip, position, name, encrypted. An archive's shape without names or text: counts, flags, the ten commonest extensions, up to 3 packages and 40 entry names made anonymous."""
+    """listed: path, is_zip, position, name, encrypted. An archive's shape without names or text: counts, flags, the ten commonest extensions ((none) for entries without), up to 3 packages, and 40 entry names made anonymous."""
     name = F.col("name")
-    extension = F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))
+    leaf = F.ltrim(F.substring_index(name, "/", -1), F.lit("."))  # dots that begin a name begin no extension
+    extension = F.coalesce(F.nullif(F.lower(F.regexp_extract(leaf, r"(\.[^.]*)$", 1)), F.lit("")), F.lit("(none)"))
     of = listed.where(name.isNotNull()).groupBy("path", extension.alias("ext")).agg(F.count("*").alias("n"), F.min("position").alias("first"))
     top = of.groupBy("path").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "first", "ext", "n"))), 1, 10).alias("t"))
     top = top.select("path", F.map_from_entries(F.transform("t", lambda x: F.struct(x["ext"], x["n"]))).alias("by_extension"))
@@ -151,7 +153,7 @@ def fingerprint(listed: DataFrame) -> DataFrame:
     flags = listed.groupBy("path").agg(
         F.bool_or("is_zip").alias("is_zip"), F.count("name").alias("entries"), F.coalesce(F.bool_or(name == "META-INF/container.xml"), F.lit(False)).alias("has_container"),
         F.coalesce(F.bool_or(name == "mimetype"), F.lit(False)).alias("has_mimetype"), F.bool_or("encrypted").alias("encrypted"),
-        first(3, F.endswith(name, F.lit(".opf")), tx.anonymous_name("name")).alias("opf"), first(40, name.isNotNull(), tx.anonymous_name("name")).alias("sample_entries"),
+        first(3, F.endswith(name, F.lit(".opf")), name).alias("opf"), first(40, name.isNotNull(), tx.anonymous_name("name")).alias("sample_entries"),
     )
     return flags.join(top, "path", "left")
 
@@ -201,4 +203,4 @@ def written(chapters: DataFrame, books: DataFrame) -> DataFrame:
         return pd.DataFrame({"book": [key[0]], "content": [content]})
 
     both = chapters.select("book", "chapter", "title", "body").join(books.select("book", F.col("title").alias("book_title"), "creators", "languages", "cover", "cover_type"), "book")
-    return both.groupBy("book").applyInPandas(run, "book string, content binary")
+    return dealt(both, "book").groupBy("book").applyInPandas(run, "book string, content binary")

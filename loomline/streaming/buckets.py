@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.dealing import dealt
+
 RATE, PER, BURST, IDLE_SECONDS = 12.0, 300.0, 4.0, 3600
 SESSION_SECONDS, MAX_FILES, MAX_BYTES = 1800, 40, 250 << 20
 DECISION = "key string, at double, id long, admitted boolean, wait double"
@@ -38,11 +40,12 @@ def token_bucket(requests: DataFrame, rate: float = RATE, per: float = PER, burs
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _decide(key[0], rows, 0.0, None, rate, per, burst)[0]
 
-    return requests.select(F.col("key").cast("string").alias("key"), F.col("at").cast("double").alias("at"), F.col("id").cast("long").alias("id")).groupBy("key").applyInPandas(run, DECISION)
+    own = requests.select(F.col("key").cast("string").alias("key"), F.col("at").cast("double").alias("at"), F.col("id").cast("long").alias("id"))
+    return dealt(own, "key").groupBy("key").applyInPandas(run, DECISION)
 
 
-def token_bucket_stream(requests: DataFrame, rate: float = RATE, per: float = PER, burst: float = BURST) -> DataFrame:
-    """The same over a stream, with a bucket's tokens and last time as its state; an idle key's state goes."""
+def token_bucket_stream(requests: DataFrame, rate: float = RATE, per: float = PER, burst: float = BURST, late: str = "1 hour") -> DataFrame:
+    """The same over a stream, with a bucket's tokens and last time as its state. A request that is later than `late` behind the newest is dropped; the state of a key that is idle by then goes."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -51,11 +54,12 @@ def token_bucket_stream(requests: DataFrame, rate: float = RATE, per: float = PE
         tokens, last = state.get if state.exists else (0.0, None)
         out, tokens, last = _decide(key[0], pd.concat(list(frames)), tokens, last, rate, per, burst)
         state.update((tokens, last))
-        state.setTimeoutDuration(IDLE_SECONDS * 1000)
+        state.setTimeoutTimestamp(int((last + IDLE_SECONDS) * 1000) + 1)
         yield out
 
     own = requests.select(F.col("key").cast("string").alias("key"), F.col("at").cast("double").alias("at"), F.col("id").cast("long").alias("id"))
-    return own.groupBy("key").applyInPandasWithState(run, DECISION, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    own = own.withColumn("ts", F.timestamp_seconds(F.col("at") + 1)).withWatermark("ts", late)  # a stream's first watermark is at 0, and what is not after it is late
+    return own.groupBy("key").applyInPandasWithState(run, DECISION, "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(events: DataFrame, key: str, ts: str, ttl: int = SESSION_SECONDS) -> DataFrame:

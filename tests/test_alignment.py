@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.operators import alignment as al
 from loomline.operators import chapters
@@ -85,6 +87,43 @@ def test_margins_match_the_lattice_and_shuffles_are_doubted(spark):
     assert min(al.margins(q, al.align_pair(q)[3])[:-1]) < min(sure[:-1])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_margins_are_those_of_the_whole_lattice(seed):
+    rng = random.Random(seed)
+    p = pair(some(rng, rng.randint(2, 9)), some(rng, rng.randint(2, 9)))
+    ways = {(0, 0): [(0.0, ())]}
+    for i in range(p.n + 1):
+        for j in range(p.m + 1):
+            for k, (di, dj) in enumerate(al.STEPS):
+                if (i - di, j - dj) in ways and (di or dj):
+                    cost = float(p.step_cost(k, np.array([i - di]), np.array([j - dj]))[0])
+                    ways.setdefault((i, j), []).extend((c + cost, (*path, (i, j))) for c, path in sorted(ways[i - di, j - dj])[:4000])
+    beads = al.align_pair(p)[3]
+    whole, at, want = ways[p.n, p.m], (0, 0), []
+    for x, y in beads:
+        at = at[0] + x, at[1] + y
+        others = [c for c, path in whole if any(i == at[0] and j != at[1] for i, j in ((0, 0), *path))]
+        want.append(min(others) - min(c for c, _ in whole) if others else math.inf)
+    assert al.margins(p, beads) == pytest.approx(want)
+
+
+def test_a_cell_of_the_corridor_costs_about_a_byte():
+    rng = np.random.default_rng(1)
+    p = pair(rng.integers(20, 400, 1200).tolist(), rng.integers(20, 400, 1200).tolist())
+    lo, hi = al.corridor(p.n, p.m, 96)
+    tracemalloc.start()
+    al.banded(p, 96)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * (hi - lo + 1).sum() + 1_500_000
+
+
+def test_pairs_are_dealt_to_several_tasks(spark):
+    df = spark.createDataFrame([(f"p{k}", i, "p", "x" * (20 + i)) for k in range(12) for i in range(4)], "pair_id string, seq int, tag string, frag string")
+    tasks = al.align(df, df).select(F.spark_partition_id().alias("t"), "pair_id").distinct().collect()
+    assert len({r["t"] for r in tasks}) > 3 and len(tasks) == 12
+
+
 def test_dataframe_align_doubt_and_chapters(spark):
     blocks = [("x", 0, "h1", "One"), ("x", 1, "p", "a" * 50), ("x", 2, "h2", "Two"), ("x", 3, "p", "b" * 70), ("x", 4, "h2", "Three"), ("x", 5, "p", "c" * 60)]
     df = spark.createDataFrame(blocks, "pair_id string, seq int, tag string, frag string")

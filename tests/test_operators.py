@@ -114,8 +114,17 @@ def test_epub_round_trip_and_bad_archives(spark):
     rows = epub.blocks(epub.packages(files.where("path = 'nested.epub'"))).orderBy("seq").collect()
     assert [(r["tag"], r["frag"], r["lang"]) for r in rows] == [("h1", "C1", "fr"), ("p", "one", "fr"), ("p", "two", "fr")]
     shape = {r["path"]: r for r in epub.fingerprint(epub.entries(files)).collect()}
-    assert shape["ok.epub"]["has_container"] and shape["ok.epub"]["opf"] == ["OEBPS/x.opf"] and not shape["junk.epub"]["is_zip"]
+    assert shape["ok.epub"]["has_container"] and shape["ok.epub"]["opf"] == ["OEBPS/content.opf"] and not shape["ok.epub"]["encrypted"] and not shape["junk.epub"]["is_zip"]
     assert zipfile.ZipFile(io.BytesIO(book)).infolist()[0].filename == "mimetype"
+    odd = spark.createDataFrame([("k", archive({n: b"" for n in (".hidden", "a/.x.txt", "B.TXT", "a.b/c", "META-INF/encryption.xml")}))], "path string, content binary")
+    got = epub.fingerprint(epub.entries(odd)).first()
+    assert got["by_extension"] == {"(none)": 2, ".txt": 2, ".xml": 1} and got["encrypted"]
+
+
+def test_items_of_replies():
+    assert [tx.item_text(x, strict=False) for x in ("a", {"text": 5}, {"target": "b", "x": 1}, {"x": 1}, 7)] == ["a", "5", "b", "{'x': 1}", "7"]
+    with pytest.raises(ValueError):
+        tx.item_text({"text": 5}, strict=True)
 
 
 def test_logs(spark, tmp_path):
