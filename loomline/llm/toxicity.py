@@ -142,10 +142,11 @@ class Network:
 
 def evidence(texts: list[str], labels: np.ndarray, least: float = 2.5, most: float = 5.0) -> np.ndarray:
     """For each word bucket how much more often toxic texts have it than clean ones: the signed root of twice the log likelihood ratio, beyond `least`, up to `most`."""
-    words = Words(pa.array(texts))
     has = np.zeros((2, WORDS))
-    for y, b, e in zip(labels.tolist(), words.at[:-1], words.at[1:]):
-        has[y, np.unique(words.bucket[words.uses[b:e]])] += 1
+    for k in range(0, len(texts), 100):
+        words = Words(pa.array(texts[k : k + 100]))
+        for y, b, e in zip(labels[k : k + 100].tolist(), words.at[:-1], words.at[1:]):
+            has[y, np.unique(words.bucket[words.uses[b:e]])] += 1
     n = np.bincount(labels, minlength=2)[:, None]
     seen = np.stack([has, n - has])
     expected = seen.sum(1, keepdims=True) * n / n.sum()
