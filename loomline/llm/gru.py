@@ -27,6 +27,51 @@ def back(dh: np.ndarray, kept: tuple, wh: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([dz, dr, dn], 1), dh * z + da @ wh.T, da
 
 
+def step_in_parts(x: np.ndarray, h: np.ndarray, wh: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """step() with the three parts of x, 3 * rows * H, and of wh, 3 * H * H, each in one piece, so that no operation walks along short rows of a wider array."""
+    a = h @ wh
+    gates, n = a[:2], np.empty_like(h)
+    gates += x[:2]
+    gates *= np.float32(0.5)
+    np.tanh(gates, out=gates)
+    gates *= np.float32(0.5)
+    gates += np.float32(0.5)
+    z, r = gates
+    np.multiply(r, a[2], out=n)
+    n += x[2]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    if keep is not None:
+        keep.append((h, z, r, n, a[2]))
+    return new
+
+
+def back_in_parts(dh: np.ndarray, kept: tuple, wht: np.ndarray, dx: np.ndarray, da: np.ndarray) -> np.ndarray:
+    """back() for step_in_parts(): fills dx and da, 3 * rows * H, and gives the gradient of the state before the step; wht has the parts of wh transposed."""
+    h, z, r, n, an = kept
+    dz, dr, dn = dx
+    keep, work = 1 - z, np.multiply(n, n)
+    np.subtract(1, work, out=work)
+    np.multiply(dh, keep, out=dn)
+    dn *= work
+    np.subtract(h, n, out=dz)
+    dz *= dh
+    dz *= z
+    dz *= keep
+    np.subtract(1, r, out=work)
+    work *= r
+    np.multiply(dn, an, out=dr)
+    dr *= work
+    da[:2] = dx[:2]
+    np.multiply(dn, r, out=da[2])
+    before = dh * z
+    for part in da @ wht:
+        before += part
+    return before
+
+
 class Adam:
     def __init__(self, params: list[np.ndarray], rate: float) -> None:
         self.params, self.rate, self.t = params, rate, 0

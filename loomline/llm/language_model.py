@@ -29,6 +29,10 @@ LANES, STEPS, RATE = 256, 16, 1e-2
 EPOCH_TOKENS, MAX_EPOCHS = 1_000_000, 4
 #: Rows of a window up to which a class is computed together with others.
 TOGETHER = 128
+#: Rows of a softmax that are computed at once.
+SOFTMAX_ROWS = 384
+#: Windows after which the reach of the weights is looked at anew. In between no parameter moves by more than 3.2 times the rate a window, so logits by less than 30.
+LOOKED_AT, REACH = 32, 50.0
 #: Tokens whose probabilities are computed at once.
 SCORED_AT_ONCE = 20_000
 END, OTHER = 0, 1  # symbols; head words follow by falling count
@@ -43,10 +47,34 @@ USE = np.dtype([("h", "<u8"), ("doc", "<u4"), ("n", "<u4")])
 TAIL = np.dtype([("doc", "<u4"), ("known", "<u4"), ("base", "<f8"), ("share", "<f8")])
 
 
-def _bounded(w: np.ndarray, b: np.ndarray) -> bool:
+def _bounded(w: np.ndarray, b: np.ndarray, most: float = 80) -> bool:
     """Whether exp(h @ w + b) neither overflows nor sums to 0 for any h within -1..1."""
     reach = np.abs(w).sum(-2)
-    return bool((b + reach).max() < 80 and (b - reach).max(-1).min() > -80)
+    return bool((b + reach).max() < most and (b - reach).max(-1).min() > -most)
+
+
+def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray, fine: bool, out: np.ndarray, dh: np.ndarray | None = None, gw: np.ndarray | None = None, gb: np.ndarray | None = None) -> None:
+    """Adds the log probabilities of y after states h to out and, where asked for, gradients to dh, gw and gb. It goes through the rows in blocks that stay in a core's cache."""
+    ones, work, wt = np.ones(w.shape[1], np.float32), np.empty((min(len(h), SOFTMAX_ROWS), w.shape[1]), np.float32), np.ascontiguousarray(w.T)
+    for begin in range(0, len(h), SOFTMAX_ROWS):
+        at = slice(begin, begin + SOFTMAX_ROWS)
+        hs, ys = h[at], y[at]
+        a, rows = np.matmul(hs, w, out=work[: len(hs)]), np.arange(len(hs))
+        a += b
+        if not fine:
+            a -= a.max(1, keepdims=True)
+        own = a[rows, ys]
+        np.exp(a, out=a)
+        sums = a @ ones
+        out[at] += own - np.log(sums)
+        if dh is not None:
+            a[rows, ys] -= sums
+            scale = 1 / sums
+            gw += (hs * scale[:, None]).T @ a
+            gb += scale @ a
+            d = a @ wt
+            d *= scale[:, None]
+            dh[at] += d
 
 
 class Model:
@@ -62,8 +90,9 @@ class Model:
         with np.errstate(divide="ignore"):
             cls = np.where(top > -1e8, top + np.log(np.exp(groups - np.maximum(top, -1e8)[:, None]).sum(1)), -1e4)
         self.e = (rng.standard_normal((v, DIM)) * 0.1).astype(np.float32)
-        self.wx, self.bx = gru.uniform(rng, DIM, 3 * HIDDEN), np.zeros(3 * HIDDEN, np.float32)
-        self.wh = gru.uniform(rng, HIDDEN, 3 * HIDDEN)
+        parts = lambda n: np.ascontiguousarray(gru.uniform(rng, n, 3 * HIDDEN).reshape(n, 3, HIDDEN).transpose(1, 0, 2))
+        self.wx, self.bx = parts(DIM), np.zeros((3, 1, HIDDEN), np.float32)
+        self.wh = parts(HIDDEN)
         self.cw, self.cb = np.zeros((HIDDEN, CLASSES), np.float32), (cls - cls.max()).astype(np.float32)
         self.ow, self.ob = np.zeros((CLASSES, HIDDEN, self.size), np.float32), np.maximum(groups - np.maximum(top, -1e8)[:, None], -1e4).astype(np.float32)
 
@@ -75,41 +104,32 @@ class Model:
     def inputs(self) -> np.ndarray:
         return self.e @ self.wx + self.bx
 
-    def log_probability(self, h: np.ndarray, y: np.ndarray, grads: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of symbols y after states h; with grads, those of cw, cb, ow, ob for the summed negative one are set (they are zero before), and dh is returned."""
+    def bounded(self, most: float = 80) -> tuple[bool, bool]:
+        return _bounded(self.cw, self.cb, most), _bounded(self.ow, self.ob, most)
+
+    def log_probability(self, h: np.ndarray, y: np.ndarray, grads: list[np.ndarray] | None = None, fine: tuple[bool, bool] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """fine: what bounded() gives, where it is known. Natural log probability of symbols y after states h; with grads, those of cw, cb, ow, ob for the summed negative one are set (they are zero before), and dh is returned."""
         cls, within = y // self.size, y % self.size
         # in the order of classes, so that each one's rows are a slice; states are within -1..1, so exp() needs no shift unless weights have grown very large
         order = np.argsort(cls.astype(np.uint8), kind="stable")
         h, cls, within = h[order], cls[order], within[order]
-        bounds, rows = np.searchsorted(cls, np.arange(CLASSES + 1)), np.arange(len(y))
-        a = h @ self.cw + self.cb
-        if not _bounded(self.cw, self.cb):
-            a -= a.max(1, keepdims=True)
-        own = a[rows, cls]
-        np.exp(a, out=a)
-        sums = a @ np.ones(CLASSES, np.float32)
-        out = own - np.log(sums)
-        dh = None
-        if grads is not None:
-            a *= (1 / sums)[:, None]
-            a[rows, cls] -= 1
-            np.matmul(h.T, a, out=grads[0])
-            np.matmul(np.ones(len(y), np.float32), a, out=grads[1])
-            dh = a @ self.cw.T
-        fine, ones, counts = _bounded(self.ow, self.ob), np.ones(self.size, np.float32), np.diff(bounds)
+        bounds, out = np.searchsorted(cls, np.arange(CLASSES + 1)), np.zeros(len(y), np.float32)
+        fine_classes, fine = fine or self.bounded()
+        dh = None if grads is None else np.zeros_like(h)
+        _softmax(h, self.cw, self.cb, cls, fine_classes, out, dh, *([] if grads is None else grads[:2]))
+        ones, counts = np.ones(self.size, np.float32), np.diff(bounds)
+        for k in np.flatnonzero(counts > TOGETHER):
+            at = slice(bounds[k], bounds[k + 1])
+            _softmax(h[at], self.ow[k], self.ob[k], within[at], fine, out[at], None if dh is None else dh[at], *([] if grads is None else (grads[2][k], grads[3][k])))
         # classes with few rows are computed together, those with up to twice as many rows at a time; the rows that they lack are left out of all sums
-        groups = np.where(counts > TOGETHER, CLASSES + np.arange(CLASSES), np.ceil(np.log2(np.maximum(counts, 1))).astype(int))
-        for g in np.unique(groups[counts > 0]):
+        groups = np.where(counts > TOGETHER, -1, np.ceil(np.log2(np.maximum(counts, 1))).astype(int))
+        for g in np.unique(groups[(counts > 0) & (groups >= 0)]):
             ks = np.flatnonzero((groups == g) & (counts > 0))
             n = counts[ks]
-            if len(ks) == 1:
-                j, i, at, ks = 0, rows[: n[0]], slice(bounds[ks[0]], bounds[ks[0] + 1]), slice(ks[0], ks[0] + 1)
-                hs = h[at][None]
-            else:
-                j, i = np.nonzero(np.arange(n.max()) < n[:, None])
-                at = bounds[ks][j] + i
-                hs = np.zeros((len(ks), n.max(), HIDDEN), np.float32)
-                hs[j, i] = h[at]
+            j, i = np.nonzero(np.arange(n.max()) < n[:, None])
+            at = bounds[ks][j] + i
+            hs = np.zeros((len(ks), n.max(), HIDDEN), np.float32)
+            hs[j, i] = h[at]
             ow, w = self.ow[ks], within[at]
             b = hs @ ow
             b += self.ob[ks][:, None]
@@ -117,18 +137,20 @@ class Model:
                 b -= b.max(2, keepdims=True)
             own = b[j, i, w]
             np.exp(b, out=b)
-            sums = b @ ones
-            out[at] += own - np.log(sums[j, i])
+            sums = (b @ ones)[j, i]
+            out[at] += own - np.log(sums)
             if grads is not None:
-                scale = np.zeros_like(sums)
-                scale[j, i] = 1 / sums[j, i]
-                b *= scale[:, :, None]
-                b[j, i, w] -= 1
+                scale = np.zeros(hs.shape[:2], np.float32)
+                scale[j, i] = 1 / sums
+                b[j, i, w] -= sums
+                hs *= scale[:, :, None]
                 grads[2][ks] = hs.transpose(0, 2, 1) @ b
-                grads[3][ks] = np.ones(b.shape[1], np.float32) @ b
-                dh[at] += (b @ ow.transpose(0, 2, 1))[j, i]
+                grads[3][ks] = (scale[:, None] @ b)[:, 0]
+                d = b @ ow.transpose(0, 2, 1)
+                d *= scale[:, :, None]
+                dh[at] += d[j, i]
         back = np.empty_like(order)
-        back[order] = rows
+        back[order] = np.arange(len(y))
         return out[back], None if dh is None else dh[back]
 
     def train(self, symbols: np.ndarray, epochs: int = 1, rate: float = RATE) -> None:
@@ -152,26 +174,37 @@ class Model:
             for t0 in range(0, n, STEPS):
                 adam.rate = rate * max(0.1, 1 - (epoch * n + t0) / (epochs * n))
                 xs, ys = x[t0 : t0 + STEPS], y[t0 : t0 + STEPS]
+                if t0 // STEPS % LOOKED_AT == 0:
+                    fine = self.bounded(REACH)
                 inputs, kept, alive = self.e[xs.ravel()], [], (xs != END).astype(np.float32)[:, :, None]
-                proj, states = (inputs @ self.wx + self.bx).reshape(len(xs), lanes, -1), np.empty((len(xs), lanes, HIDDEN), np.float32)
+                proj, states = inputs.reshape(len(xs), 1, lanes, DIM) @ self.wx, np.empty((len(xs), lanes, HIDDEN), np.float32)
+                proj += self.bx
                 for t in range(len(xs)):
-                    h = states[t] = gru.step(proj[t], h * alive[t], self.wh, kept)
+                    h = states[t] = gru.step_in_parts(proj[t], h * alive[t], self.wh, kept)
                 all_grads.fill(0)
-                _, dh_out = self.log_probability(states.reshape(-1, HIDDEN), ys.ravel(), grads[4:])
+                _, dh_out = self.log_probability(states.reshape(-1, HIDDEN), ys.ravel(), grads[4:], fine)
                 dh_out = dh_out.reshape(len(xs), lanes, HIDDEN)
-                dh, dproj, dstate = np.zeros((lanes, HIDDEN), np.float32), np.empty_like(proj), np.empty_like(proj)
+                dh, wht = np.zeros((lanes, HIDDEN), np.float32), np.ascontiguousarray(self.wh.transpose(0, 2, 1))
+                dproj, dstate = np.empty((3, len(xs), lanes, HIDDEN), np.float32), np.empty((3, len(xs), lanes, HIDDEN), np.float32)
                 for t in range(len(xs) - 1, -1, -1):
-                    dproj[t], dh, dstate[t] = gru.back(dh + dh_out[t], kept[t], self.wh)
+                    dh += dh_out[t]
+                    dh = gru.back_in_parts(dh, kept[t], wht, dproj[:, t], dstate[:, t])
                     dh *= alive[t]
-                grads[3] += np.concatenate([k[0] for k in kept]).T @ dstate.reshape(-1, 3 * HIDDEN)
-                dproj = dproj.reshape(-1, 3 * HIDDEN)
-                grads[1] += inputs.T @ dproj
-                grads[2] += dproj.sum(0)
+                dproj, dstate = dproj.reshape(3, -1, HIDDEN), dstate.reshape(3, -1, HIDDEN)
+                before = np.concatenate([k[0] for k in kept])
+                for b in range(0, len(before), SOFTMAX_ROWS):
+                    at = slice(b, b + SOFTMAX_ROWS)
+                    grads[3] += before[at].T @ dstate[:, at]
+                    grads[1] += inputs[at].T @ dproj[:, at]
+                grads[2] += (np.ones(len(before), np.float32) @ dproj)[:, None]
+                dinputs = dproj[0] @ self.wx[0].T
+                for k in (1, 2):
+                    dinputs += dproj[k] @ self.wx[k].T
                 symbol = xs.ravel().astype(np.uint16)
                 order = np.argsort(symbol, kind="stable")
                 used = symbol[order]
                 first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
-                grads[0][used[first]] += np.add.reduceat((dproj @ self.wx.T)[order], first)
+                grads[0][used[first]] += np.add.reduceat(dinputs[order], first)
                 adam.update(all_grads, 1 / ys.size)
 
     def score(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -183,7 +216,7 @@ class Model:
         h, last = np.zeros((len(n), HIDDEN), np.float32), np.full(len(n), END)
         states, ys, docs, held = [], [], [], 0
         for t, k in enumerate(alive):
-            h = gru.step(proj[last[:k]], h[:k], self.wh)
+            h = gru.step_in_parts(proj.take(last[:k], 1), h[:k], self.wh)
             last = symbols[begin[:k] + t]
             states.append(h)
             ys.append(last)
