@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomline.llm import common, language_model, licenses, media, mixing, nearcopies, neighbours, pieces, quality, queries, suffixes, toxicity
+from loomline.llm import common, gru, language_model, licenses, media, mixing, nearcopies, neighbours, pieces, quality, queries, suffixes, toxicity
 
 DIR = "/root/testdata/sf0.001"
 FOLD = str.maketrans(common.UPPER, common.LOWER)
@@ -107,6 +107,37 @@ def test_op3_model_is_a_distribution_and_learns():
     assert both == pytest.approx(alone, rel=1e-4)
 
 
+def test_op3_recurrence_in_parts_and_gradients():
+    rng = np.random.default_rng(3)
+    n, size = 7, language_model.HIDDEN
+    x, h, wh, dh = (rng.standard_normal(s).astype(np.float32) for s in ((n, 3 * size), (n, size), (size, 3 * size), (n, size)))
+    parts = lambda a: np.ascontiguousarray(a.reshape(len(a), 3, size).transpose(1, 0, 2))
+    whole = lambda a: a.transpose(1, 0, 2).reshape(-1, 3 * size)
+    plain, kept = [], []
+    assert np.allclose(gru.step(x, h, wh, plain), gru.step_in_parts(parts(x), h, parts(wh), kept), atol=1e-5)
+    dx, da = np.empty((3, n, size), np.float32), np.empty((3, n, size), np.float32)
+    before = gru.back_in_parts(dh, kept[0], parts(wh).transpose(0, 2, 1), dx, da)
+    for a, b in zip(gru.back(dh, plain[0], wh), (whole(dx), before, whole(da))):
+        assert np.allclose(a, b, atol=1e-4)
+
+    # softmax: gradients against differences, with classes of many rows and of few, one block and several
+    model = language_model.Model(np.linspace(900, 1, 8192))
+    model.cw[...], model.ow[...] = (rng.standard_normal(w.shape) * 0.1 for w in (model.cw, model.ow))
+    y = np.concatenate([np.zeros(900, int), rng.integers(0, 8192, 300)])
+    h = np.tanh(rng.standard_normal((len(y), size))).astype(np.float32)
+    grads = [np.zeros_like(p) for p in (model.cw, model.cb, model.ow, model.ob)]
+    _, dh = model.log_probability(h, y, grads)
+    for p, g in ((h, dh), *zip((model.cw, model.cb, model.ow, model.ob), grads)):
+        way = rng.standard_normal(p.shape).astype(np.float32)
+        old, sums = p.copy(), []
+        for step in (1e-2, -1e-2):
+            p[...] = old + np.float32(step) * way
+            sums.append(-model.log_probability(h, y)[0].astype(np.float64).sum())
+        p[...] = old
+        expected = (sums[0] - sums[1]) / 2e-2
+        assert abs((g.astype(np.float64) * way).sum() - expected) < 0.02 * abs(expected) + 0.5
+
+
 def test_op3_learns_from_every_training_text(spark):
     words = [[f"w{i}x{k}" for k in range(5)] for i in range(60)]
     h = common.word_hashes(pa.array([" ".join(w) for w in words]))[0]
