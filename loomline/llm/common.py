@@ -138,12 +138,12 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = PIECE_BYTES) -> Iterato
         begin = min(end, n)
 
 
-def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of each word in data, and the document it is in. A word never crosses from one document into the next."""
+def words_of(data: np.ndarray, at: np.ndarray, parts: np.ndarray = ~_IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each word in data (a run of the bytes that parts marks), and the document it is in. A word never crosses from one document into the next."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_IS_SPACE[data]
+    inside = parts[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_model, licenses, media, mixing, nearcopies, neighbours, pieces, quality, suffixes, toxicity
+from . import divergence, interactions, language_model, licenses, media, mixing, nearcopies, neighbours, pieces, quality, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_suffixes": suffixes.op9_suffixes,
     "op10_neighbours": neighbours.op10_neighbours,
+    "op11_interactions": interactions.op11_interactions,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_top_k": topk.op13_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -29,4 +32,7 @@ e as (select a as u, b as v from l union all select b, a from l),
 r(u, v) as (select doc_id, doc_id from documents union select r.u, e.v from r join e on e.u = r.v)
 select d.doc_id, coalesce(max(n.n), 0) as n_shingles, min(r.v) as component_id, d.doc_id = min(r.v) as kept
 from (select distinct doc_id from documents) d join r on r.u = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id""",
+    "op11_interactions": interactions.SQL,
+    "op12_divergence": divergence.SQL,
+    "op13_top_k": topk.SQL,
 }
