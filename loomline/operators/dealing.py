@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df by its keys in a fixed number of partitions. What a group costs in Python has little to do with its bytes, by which adaptive execution would put all small groups in one task."""
     spark = df.sparkSession
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
+def in_sequence(df: DataFrame, keys: list[str], order: list[str], step: Callable[[Any, dict], tuple[Any, tuple]], decision: str) -> DataFrame:
+    """df with the columns of decision, a schema: step(state, row) gives the next state and a row's decision, and is called for a key's rows in order, at first with None.
+
+    What a row is decided to be depends on all before it, so a key is one task's work; but rows pass through the task in batches, and it holds one state and no group.
+    """
+    extra = T.StructType.fromDDL(decision)
+    schema = to_arrow_schema(extra)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if (key := tuple(row[k] for k in keys)) != now:
+                    now, state = key, None
+                state, decided = step(state, row)
+                out.append(decided)
+            for field, values in zip(schema, zip(*out) if out else [()] * len(schema)):
+                batch = batch.append_column(field.name, pa.array(values, field.type))
+            yield batch
+
+    return dealt(df, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, T.StructType([*df.schema, *extra]))

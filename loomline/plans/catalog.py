@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import alignment, chapters, exchange, extract, languages
 from ..sources import epub, logs
-from ..streaming import buckets
+from ..streaming import buckets, sessions
 from . import merge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,7 +106,7 @@ found as (
   union all select page_id, 'p', string_split(string_split(x, '</p>')[1], '</article>')[1] from (select page_id, unnest(string_split(b, '<p>')[2:]) as x from bodies)
 ),
 blocks as (select page_id, tag, {_plain('t')} as text from found where length({_plain('t')}) > 0)"""
-_ERRORS = "errors as (select event_id, epoch_us(ts) / 1e6 as at, ts, user_id, 'cannot open /srv/in/k' || json_extract_string(props, '$.k') || '/a.epub' as error from events where event_type = 'error')"
+_ERRORS = "errors as (select *, cast(json_extract_string(props, '$.k') as int) as k from events where event_type = 'error')"
 
 
 @query("blocks_from_documents", f"with {_LINES} select book, seq, frag, lang from lines")
@@ -319,12 +319,22 @@ def epub_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of every shape by k modulo 6: a bare and a quoted file, a path in a text of over 150 characters that differs after them, none, an empty one, and neither error nor type."""
     own = table(spark, sf_dir, "events").where("event_type = 'error'")
     k = F.get_json_object("props", "$.k")
-    return own.select("event_id", "ts", "user_id", F.concat(F.lit("cannot open /srv/in/k"), k, F.lit("/a.epub")).alias("error"), k.alias("k"))
+    kind = k.cast("int") % 6
+    long = F.concat(F.lit("cannot read /srv/in/k"), k, F.lit("/x "), F.repeat(F.lit("and more "), F.lit(20)), (k.cast("int") % 4).cast("string"))
+    error = F.when(kind == 0, F.concat(F.lit("cannot open /srv/in/k"), k, F.lit("/my book.epub"))).when(kind == 1, F.concat(F.lit("no part in '"), k, F.lit(" of it.ZIP'"))).when(kind == 2, long).when(kind == 4, "")
+    return own.select("event_id", "ts", "user_id", error.alias("error"), F.when(kind < 5, "ValueError").alias("error_type"), k.alias("k"))
 
 
-@query("failure_digest", f"with {_ERRORS} select 'cannot open <file>' as reason, count(*) as n, min(event_id) as first from errors having count(*) > 0")
+_REASONS = f"""with {_ERRORS}, r as (
+  select event_id, case k % 6 when 0 then 'cannot open <file>' when 1 then 'no part in ''<file>''' when 2 then 'cannot read <path> ' || repeat('and more ', 20) || (k % 4) when 5 then 'unknown' else 'ValueError' end as reason from errors
+)
+select reason, count(*) as n, min(event_id) as first from r group by reason"""
+
+
+@query("failure_digest", _REASONS)
 def failure_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.reasons(errors(spark, sf_dir), "event_id")
 
@@ -352,13 +362,15 @@ def failures_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.failure_windows(errors(spark, sf_dir).select(F.col("ts").alias("at_ts"), F.lit("error").alias("endpoint")))
 
 
-# DuckDB has neither possessive parts nor a look behind, which these paths do not need
-_SCRUB = f"""select page_id, regexp_replace(regexp_replace('failed at /srv/books/' || page_id || '/x of ' || url, '{tx.BARE_FILE.replace("'", "''")}', '<file>', 'g'), '{tx.LONG_PATH.replace("+)", ")").replace("++", "+").replace("}+", "}").replace("?+", "?").replace(r"(?<!\.py)", "").replace("'", "''")}', '<path>', 'g') as error from pages"""
+# from the rule: a url that ends as a data file is one, from the colon on; of another the colon and a slash stay, and of what follows only a single name
+_SCRUB = f"""with u as (select page_id, split_part(url, '//', 1) as scheme, split_part(split_part(url, '?', 1), '.', -1) as ending, list_filter(string_split(substr(url, strpos(url, '//') + 2), '/'), lambda x: x <> '') as names, substr(url, length(split_part(url, '?', 1)) + 1) as query from pages)
+select page_id, 'failed at <path> in /srv/app/read.py "<file>" of ' || scheme || case when list_contains({list(tx.DATA_FILES)}, ending) then '<file>' || query when len(names) >= 2 then '/<path>' else '//' || names[1] end as error from u"""
 
 
 @query("scrub_paths", _SCRUB)
 def scrub_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", tx.scrubbed(F.concat(F.lit("failed at /srv/books/"), F.col("page_id").cast("string"), F.lit("/x of "), "url")).alias("error"))
+    page = F.col("page_id").cast("string")
+    return table(spark, sf_dir, "pages").select("page_id", tx.scrubbed(F.concat(F.lit("failed at /srv/books/"), page, F.lit('/x in /srv/app/read.py "my page '), page, F.lit('.html" of '), "url")).alias("error"))
 
 
 @query("anon_names", r"select page_id, 'OEBPS/' || left(regexp_replace(regexp_replace('Chapter ' || page_id || 'b', '\p{Nd}+', '#', 'g'), '[\p{L}\p{Nl}\p{No}]+', 'x', 'g'), 32) || '.xhtml' as name from pages")
@@ -391,7 +403,57 @@ def session_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("event_id").alias("first"))
 
 
-@query("session_quota", "select source as session, doc_id as seq, count(*) over w <= 40 and sum(n_chars) over w <= 60000 as accepted from documents window w as (partition by source order by doc_id rows unbounded preceding)")
+_QUOTA = """with recursive f as (select source as session, doc_id as seq, n_chars as size, row_number() over (partition by source order by doc_id) as k from documents),
+r as (
+  select session, seq, k, size <= 60000 as accepted, case when size <= 60000 then 1 else 0 end as n, case when size <= 60000 then size else 0 end as used from f where k = 1
+  union all
+  select session, seq, k, ok, n + case when ok then 1 else 0 end, used + case when ok then size else 0 end
+  from (select f.session, f.seq, f.k, f.size, r.n, r.used, r.n < 40 and r.used + f.size <= 60000 as ok from r join f on f.session = r.session and f.k = r.k + 1)
+)
+select session, seq, accepted from r"""
+
+
+@query("session_quota", _QUOTA)
 def session_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the files of their source's session: those for which there is room."""
     files = table(spark, sf_dir, "documents").select(F.col("source").alias("session"), F.col("doc_id").alias("seq"), F.col("n_chars").alias("bytes"))
     return buckets.quota(files, max_bytes=60_000).drop("bytes")
+
+
+#: Short sessions with little room, so that events meet each rule.
+LIMITS = sessions.Limits(ttl=6 * 3600, max_files=3, max_bytes=600)
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as what happens to a user's session; files and tokens are told by their k."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    kinds = F.create_map(*[F.lit(x) for x in ("signup", "open", "view", "touch", "click", "add", "purchase", "fetch", "error", "add")])
+    own = table(spark, sf_dir, "events").where("user_id is not null")
+    return own.select(
+        F.col("user_id").cast("string").alias("session"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("id"),
+        kinds[F.col("event_type")].alias("kind"), F.concat(F.lit("t"), (k % 4).cast("string")).alias("token"), (k * 4).cast("long").alias("bytes"),
+    )
+
+
+_SESSIONS = """with recursive e as (
+  select cast(user_id as varchar) as session, event_id as id, epoch_us(ts) / 1e6 as tm, case event_type when 'signup' then 'open' when 'view' then 'touch' when 'purchase' then 'fetch' else 'add' end as kind,
+    cast(json_extract_string(props, '$.k') as int) % 4 as token, 4 * cast(json_extract_string(props, '$.k') as int) as size, row_number() over (partition by user_id order by epoch_us(ts) / 1e6, event_id) as rn from events
+),
+r as (
+  select session, id, rn, kind = 'open' as accepted, kind = 'open' as lives, tm as seen, 0 as n, 0 as used, cast([] as int[]) as tokens from e where rn = 1
+  union all
+  select session, id, rn, case kind when 'open' then true when 'touch' then alive when 'fetch' then alive and list_contains(tokens, token) else room end, kind = 'open' or alive, case when kind <> 'add' then tm else seen end,
+    case when kind = 'open' or not alive then 0 when room then n + 1 else n end, case when kind = 'open' or not alive then 0 when room then used + size else used end,
+    case when kind = 'open' or not alive then cast([] as int[]) when room then list_append(tokens, token) else tokens end
+  from (
+    select *, kind = 'add' and alive and n < 3 and used + size <= 600 as room
+    from (select e.*, r.seen, r.n, r.used, r.tokens, r.lives and e.tm - r.seen <= 21600 as alive from r join e on e.session = r.session and e.rn = r.rn + 1)
+  )
+)
+select session, id, accepted, cast(n as int) as files, cast(used as bigint) as used from r"""
+
+
+@query("session_decisions", _SESSIONS)
+def session_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sessions of users accept, as their files and time to live allow."""
+    return sessions.decisions(session_events(spark, sf_dir), LIMITS).select("session", "id", "accepted", "files", "used")

@@ -15,9 +15,9 @@ ERROR_CHARS, TRACEBACK_CHARS, REASON_CHARS = 800, 3000, 150
 
 
 def read_failures(spark: SparkSession, path: str, since: Column | None = None) -> DataFrame:
-    """Lines of a JSON log with at_ts; blank and broken lines are left out."""
+    """Lines of a JSON log with at_ts; blank and broken lines are left out. With since, so are earlier records and those whose time can't be read, which otherwise stay."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    parsed = lines.select(F.from_json("value", FAILURE).alias("x")).where("x.at is not null").select("x.*")
+    parsed = lines.select(F.from_json("value", FAILURE + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("x")).where("x is not null and x._broken is null").select("x.*").drop("_broken")
     parsed = parsed.withColumn("at_ts", F.try_to_timestamp("at"))
     return parsed.where(F.col("at_ts") >= since) if since is not None else parsed
 
@@ -34,8 +34,9 @@ def append_failures(events: DataFrame, path: str) -> None:
 
 
 def reasons(failures: DataFrame, order: str = "at") -> DataFrame:
-    """reason, n, first: commonest first, ties by first seen. Names are scrubbed again on reading."""
-    of = failures.groupBy(F.left(tx.scrubbed("error"), F.lit(REASON_CHARS)).alias("reason")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    """reason, n, first: commonest first, ties by first seen. A reason is the whole error, scrubbed again; without one the error's type, and without that, unknown."""
+    given = [F.nullif(F.col(c), F.lit("")) for c in ("error", "error_type") if c in failures.columns]
+    of = failures.groupBy(tx.scrubbed(F.coalesce(*given, F.lit("unknown"))).alias("reason")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     return of.orderBy(F.desc("n"), "first", "reason")
 
 
@@ -65,9 +66,9 @@ def resolve(reports: DataFrame, ids: list[str], note: str, now: Column | None =
 
 
 def digest(failures: DataFrame, reports: DataFrame) -> DataFrame:
-    """One row: failures, by_reason, reports_open, reports_awaiting_reply, idle (nothing to tell)."""
+    """One row: failures, by_reason (reasons as a reader sees them, cut), reports_open, reports_awaiting_reply, idle (nothing to tell)."""
     by = reasons(failures).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failures"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "first", "reason"))).alias("r"))
-    by = by.select("failures", F.transform("r", lambda x: F.struct(x["reason"].alias("reason"), (-x["k"]).alias("n"))).alias("by_reason"))
+    by = by.select("failures", F.transform("r", lambda x: F.struct(F.left(x["reason"], F.lit(REASON_CHARS)).alias("reason"), (-x["k"]).alias("n"))).alias("by_reason"))
     open_ = F.col("resolved_at").isNull()
     of = reports.agg(F.count_if(open_).alias("reports_open"), F.count_if(open_ & F.col("notify").isNotNull()).alias("reports_awaiting_reply"))
     return by.crossJoin(of).withColumn("idle", (F.col("failures") == 0) & (F.col("reports_open") == 0))  # one row each

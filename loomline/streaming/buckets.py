@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.dealing import dealt
+from ..operators.dealing import in_sequence
 
 RATE, PER, BURST, IDLE_SECONDS = 12.0, 300.0, 4.0, 3600
 SESSION_SECONDS, MAX_FILES, MAX_BYTES = 1800, 40, 250 << 20
@@ -37,11 +37,13 @@ def _decide(key: str, rows: pd.DataFrame, tokens: float, last: float | None, rat
 def token_bucket(requests: DataFrame, rate: float = RATE, per: float = PER, burst: float = BURST) -> DataFrame:
     """requests: key, at (seconds), id. One decision each, in order of time and id within a key."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _decide(key[0], rows, 0.0, None, rate, per, burst)[0]
+    def step(state: tuple[float, float] | None, row: dict) -> tuple[tuple[float, float], tuple[bool, float]]:
+        tokens, last = state if state and row["at"] - state[1] <= IDLE_SECONDS else (0.0, None)
+        ok, wait, tokens = admit(tokens, last, row["at"], rate, per, burst)
+        return (tokens, row["at"]), (ok, wait)
 
     own = requests.select(F.col("key").cast("string").alias("key"), F.col("at").cast("double").alias("at"), F.col("id").cast("long").alias("id"))
-    return dealt(own, "key").groupBy("key").applyInPandas(run, DECISION)
+    return in_sequence(own, ["key"], ["at", "id"], step, "admitted boolean, wait double")
 
 
 def token_bucket_stream(requests: DataFrame, rate: float = RATE, per: float = PER, burst: float = BURST, late: str = "1 hour") -> DataFrame:
@@ -76,9 +78,18 @@ def session_windows(events: DataFrame, key: str, ts: str, ttl: int = SESSION_SEC
 
 
 def quota(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """files: session, seq, bytes. accepted is false from the first file on that would pass a session's limits."""
-    upto = W.partitionBy("session").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    return files.withColumn("accepted", (F.count("*").over(upto) <= max_files) & (F.sum("bytes").over(upto) <= max_bytes))
+    """files: session, seq, bytes. accepted: whether the session has room for the file, in order of seq; one that is refused takes no room, so a smaller one may follow. Null bytes are 0."""
+
+    def step(state: tuple[int, int] | None, row: dict) -> tuple[tuple[int, int], tuple[bool]]:
+        n, used = state or (0, 0)
+        size = row["bytes"] or 0
+        return ((n + 1, used + size), (True,)) if fits(n, used, size, max_files, max_bytes) else ((n, used), (False,))
+
+    return in_sequence(files, ["session"], ["seq"], step, "accepted boolean")
+
+
+def fits(n: int, used: int, size: int, max_files: int, max_bytes: int) -> bool:
+    return n < max_files and used + size <= max_bytes
 
 
 def failure_windows(failures: DataFrame, every: str = "1 day") -> DataFrame:
