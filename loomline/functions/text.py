@@ -147,7 +147,7 @@ def _without_paths(text: Column) -> Column:
 
 
 def scrubbed(c: Column | str) -> Column:
-    """Nothing that could name a file; null gives an empty text. Token by token: quoted data files, data files with blanks in their names, then paths. A text that was scrubbed stays as it is."""
+    """Nothing that could name a file; null gives an empty text. Token by token: quoted data files, data files with blanks in their names, then paths."""
     return _let(F.coalesce(col(c), F.lit("")), lambda text: _without_paths(_without_bare_files(_without_quoted_files(text))))
 
 

@@ -162,3 +162,35 @@ def test_sessions_and_quota(spark):
     assert [r["session"] for r in buckets.sessions(df, "u", "ts").orderBy("event_id").collect()] == [0, 0, 1]
     files = spark.createDataFrame([("s", i, 10) for i in range(3)], "session string, seq int, bytes int")
     assert [r["accepted"] for r in buckets.quota(files, max_files=2).orderBy("seq").collect()] == [True, True, False]
+
+
+def test_reasons_are_whole_and_fall_back(spark):
+    long = "x" * 160
+    rows = [(1, long + "a", "T"), (2, long + "b", "T"), (3, None, "KeyError"), (4, "", "KeyError"), (5, None, None), (6, "at /srv/a/b c.epub", "T"), (7, "at /srv/z.epub", None)]
+    df = spark.createDataFrame(rows, "at int, error string, error_type string")
+    got = {r["reason"]: (r["n"], r["first"]) for r in logs.reasons(df).collect()}
+    assert got == {long + "a": (1, 1), long + "b": (1, 2), "KeyError": (2, 3), "unknown": (1, 5), "at <file>": (2, 6)}
+    assert logs.reasons(df.drop("error_type")).where("reason = 'unknown'").first()["n"] == 3
+    reports = spark.createDataFrame([], "id string, resolved_at string, notify string")
+    shown = logs.digest(df.withColumn("at", F.col("at").cast("string")), reports).first()
+    assert shown["failures"] == 7 and {len(r["reason"]) for r in shown["by_reason"]} >= {150} and len(shown["by_reason"]) == 5
+
+
+def test_log_lines_without_a_time_stay(spark, tmp_path):
+    lines = ['{"at": "2024-01-02T00:00:00+00:00", "error": "a"}', "", "  ", '{"error": "b"}', "{broken", '{"at": "soon", "error": "c"}', '{"at": "2024-01-01T00:00:00+00:00", "error": "d", "more": 1}']
+    (tmp_path / "log.jsonl").write_text("\n".join(lines))
+    assert sorted(r["error"] for r in logs.read_failures(spark, str(tmp_path)).collect()) == ["a", "b", "c", "d"]
+    assert [r["error"] for r in logs.read_failures(spark, str(tmp_path), F.to_timestamp(F.lit("2024-01-01 12:00:00"))).collect()] == ["a"]
+
+
+TOKENS = [
+    ("'a \"b.epub' c.epub\"", "'<file>' c.epub\""), ("it's 'x.ZIP' and \"y z.Json\"!", "it's '<file>' and \"<file>\"!"), ("'a\nb.epub'", "'a\nb.epub'"), ("''.epub'", "''<file>'"),
+    ("/a/b//c/d", "<path><path>"), ("/a//b/c", "/a/<path>"), ("/a/b/", "<path>"), ("/a/b/x.py/", "<path>"), ("x /a b.epub.bak q", "x <file>.bak q"), ("/a.epubx /b", "/a.epubx /b"),
+    ("/x  b.epub", "/x  b.epub"), ("e: /x/译.epub译 /q", "e: <path> /q"), ("http://h.org/es/12?x", "http:/<path>"), ("http://h.org", "http://h.org"), ('File "/usr/lib/python3/x.py", line 3', 'File "/usr/lib/python3/x.py", line 3'),
+]
+
+
+def test_scrubbing_token_by_token(spark):
+    df = spark.createDataFrame([(a, b) for a, b in TOKENS], "a string, b string")
+    for r in df.select("a", "b", tx.scrubbed("a").alias("got")).collect():
+        assert r["got"] == r["b"], r["a"]
