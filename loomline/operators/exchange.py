@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from .dealing import dealt
 #: The tag that export files carry; pass another one to read and write files of a tool that has its own.
 FORMAT = "numbered-text/1"
 BATCH, RETRIES = 20, 3
+#: Seconds that a batch waits at most before it is tried again.
+LONGEST_PAUSE = 8
 #: A provider takes the texts of a batch and returns its reply, as one string.
 Provider = Callable[[list[str]], str]
 
@@ -88,28 +93,46 @@ def todo(exported: DataFrame, cache: DataFrame | None, batch: int = BATCH) -> Da
     return left.withColumn("batch", F.expr(f"(row_number() over (partition by book order by i) - 1) div {batch}").cast("int"))
 
 
-def translate_batch(texts: list[str], provider: Provider, retries: int = RETRIES) -> list[str | None]:
-    """Tries a batch some times, then its halves, down to single texts; None for a text that can't be had."""
-    for _ in range(retries):
+def translate_batch(texts: list[str], provider: Provider, retries: int = RETRIES, pause: Callable[[float], None] = time.sleep) -> list[str | None]:
+    """Tries a batch some times, waiting longer after each failure, then its halves, down to single texts; None for a text that can't be had."""
+    for attempt in range(retries):
         try:
             return list(tx.parse_reply(provider(texts), len(texts)))
         except (ValueError, OSError):
-            continue
+            pause(min(2**attempt, LONGEST_PAUSE))
     if len(texts) == 1:
         return [None]
     half = len(texts) // 2
-    return translate_batch(texts[:half], provider, retries) + translate_batch(texts[half:], provider, retries)
+    return translate_batch(texts[:half], provider, retries, pause) + translate_batch(texts[half:], provider, retries, pause)
 
 
-def translate(exported: DataFrame, provider: Provider, cache: DataFrame | None = None, batch: int = BATCH, retries: int = RETRIES) -> DataFrame:
-    """book, i, text, status (done or failed) of the blocks that the cache lacks. Append what is done to the cache: a later run asks for the rest only."""
+def requests(left: DataFrame) -> DataFrame:
+    """todo() as one row for each request: book, batch, items (i and text, in order; as many as a batch has)."""
+    return left.groupBy("book", "batch").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("items"))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        out = translate_batch(rows["text"].tolist(), provider, retries)
-        return pd.DataFrame({"book": rows["book"], "i": rows["i"], "text": out, "status": ["failed" if x is None else "done" for x in out]})
 
-    return dealt(todo(exported, cache, batch).select("book", "batch", "i", "text"), "book", "batch").groupBy("book", "batch").applyInPandas(run, "book string, i int, text string, status string")
+def translate(
+    exported: DataFrame, provider: Provider, cache: DataFrame | None = None, batch: int = BATCH, retries: int = RETRIES, at_once: int = 1, pause: Callable[[float], None] = time.sleep, progress: Accumulator | None = None
+) -> DataFrame:
+    """book, i, text, status (done or failed) of the blocks that the cache lacks. A task has at_once requests under way at most; progress, if given, counts the blocks
+    that were asked for. streaming.translation keeps what is done, so that a later run asks for the rest only."""
+
+    def ask(request: tuple) -> pd.DataFrame:
+        book, items = request
+        out = translate_batch([x["text"] for x in items], provider, retries, pause)
+        if progress is not None:
+            progress.add(len(out))
+        return pd.DataFrame({"book": book, "i": [x["i"] for x in items], "text": out, "status": ["failed" if x is None else "done" for x in out]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for f in frames:
+                waiting = list(zip(f["book"], f["items"]))
+                for k in range(0, len(waiting), at_once):  # what is done goes on before more is asked for
+                    yield from pool.map(ask, waiting[k : k + at_once])
+
+    asked = dealt(requests(todo(exported, cache, batch)), "book", "batch").select("book", "items")
+    return asked.mapInPandas(run, "book string, i int, text string, status string")
 
 
 def in_order(exported: DataFrame, translated: DataFrame) -> DataFrame:

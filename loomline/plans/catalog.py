@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import alignment, chapters, exchange, extract, languages
 from ..sources import epub, logs
-from ..streaming import buckets, sessions
+from ..streaming import buckets, sessions, translation
 from . import merge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share (spark.checkpoint.dir), gone when the session ends. Where none is set, a temporary one in local mode, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: what this query writes needs a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="loomline-")
+    path = f"{base.rstrip('/')}/loomline/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """User and assistant turns of the conversations that have both."""
     turns = table(spark, sf_dir, "conversations")
@@ -307,6 +322,21 @@ def translated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("i", F.col("i").cast("long"))
 
 
+@query("resumed_translation", f"with {_LINES}, {_EXPORT} select book, i, '[' || text || ']' as text, i % 2 = 0 as had from x")
+def resumed_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A translation of which a first run has done half when the stream of all documents begins; had: whether the cache had the block before the stream."""
+    import json
+
+    path = shared_path(spark, "translation")
+    provider = lambda texts: json.dumps([f"[{t}]" for t in texts])
+    translation.resume(exchange.export(lines(spark, sf_dir)).where("i % 2 = 0"), provider, f"{path}/cache", "first")
+    docs = f"{sf_dir}/documents.parquet"
+    # a pattern, as a stream takes no single file
+    blocks = extract.from_lines(spark.readStream.schema(spark.read.parquet(docs).schema).parquet(f"{docs}*"))
+    translation.stream(exchange.export(blocks), provider, f"{path}/cache", f"{path}/checkpoint", "second").awaitTermination()
+    return spark.read.parquet(f"{path}/cache").select("book", F.col("i").cast("long").alias("i"), "text", (F.col("run") == "first").alias("had"))
+
+
 @query("epub_round_trip", f"with {_LINES} select source as book, count(*) as blocks, cast(sum(length(frag)) as bigint) as chars from lines group by source")
 def epub_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books written from the sources' documents, a chapter for each, and read again."""
