@@ -170,6 +170,7 @@ def cover_type(content: Column | str) -> Column:
         .when(head.startswith("FFD8FF"), "image/jpeg")
         .when(head.startswith("474946383761") | head.startswith("474946383961"), "image/gif")
         .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp")
+        .when(head.startswith("3C3F786D6C") | head.startswith("3C737667"), "image/svg+xml")
         .otherwise("image/jpeg")
     )
 

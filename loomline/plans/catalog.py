@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import alignment, chapters, exchange, extract, languages
-from ..sources import epub, logs
+from ..sources import epub, logs, zips
 from ..streaming import buckets, sessions, translation
-from . import merge
+from . import books, merge
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -220,7 +220,7 @@ def align_sources_en_fr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = sides(spark, sf_dir)
     beads = merge.merged(a, b)
-    return merge.rendered(beads, a, b, "user", "assistant").join(merge.statistics(beads), ["pair_id", "chapter"])
+    return merge.rendered(beads, a, b).join(merge.statistics(beads), ["pair_id", "chapter"])
 
 
 @query("remerged_sources")
@@ -342,10 +342,68 @@ def epub_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books written from the sources' documents, a chapter for each, and read again."""
     docs = table(spark, sf_dir, "documents")
     own = lines(spark, sf_dir).groupBy("source", "book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "frag"))), lambda x: F.concat(F.lit("<p>"), x["frag"], F.lit("</p>"))), "\n").alias("body"))
-    parts = own.select(F.col("source").alias("book"), F.col("book").cast("long").alias("chapter"), F.concat(F.lit("Document "), "book").alias("title"), "body")
-    books = docs.select(F.col("source").alias("book")).distinct().select("book", F.col("book").alias("title"), F.array(F.lit("nobody")).alias("creators"), F.array(F.lit("en")).alias("languages"), F.lit(None).cast("binary").alias("cover"), F.lit(None).cast("string").alias("cover_type"))
-    read = epub.packages(epub.written(parts, books).select(F.col("book").alias("path"), "content"))
-    return epub.blocks(read).groupBy("book").agg(F.count("*").alias("blocks"), F.sum(F.length("frag")).alias("chars"))
+    name = F.concat("source", F.lit(".epub"))
+    title = F.concat(F.lit("Document "), "book")
+    pages = own.select(name.alias("book"), (F.col("book").cast("int") + 1).alias("chapter"), title.alias("title"), books.page(title, F.col("body")).alias("page"), F.lit(False).alias("scripted"))
+    meta = docs.select("source").distinct().select(name.alias("book"), F.col("source").alias("title"), F.array(F.lit("nobody")).alias("creators"), F.array(F.lit("en")).alias("languages"), *[F.lit(None).cast(t).alias(c) for c, t in (("publisher", "string"), ("description", "string"), ("cover", "binary"))])
+    path = shared_path(spark, "books")
+    zips.write(books.members(pages, meta), path)
+    read = epub.packages(epub.archives(spark, path))
+    return epub.blocks(read.withColumn("path", F.col("title"))).groupBy("book").agg(F.count("*").alias("blocks"), F.sum(F.length("frag")).alias("chars"))
+
+
+#: A picture of one pixel, so that books have a cover.
+PIXEL = "iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAYAAAAfFcSJAAAADUlEQVR42mNk+M9QDwADhgGAWjR9awAAAABJRU5ErkJggg=="
+
+
+def conversation_books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of each conversation as the packages of two books: a page with a paragraph for each turn; those of users have covers."""
+    sides_ = []
+    for role, cover in (("user", F.unbase64(F.lit(PIXEL))), ("assistant", F.lit(None).cast("binary"))):
+        own = extract.from_turns(table(spark, sf_dir, "conversations"), role)
+        html = F.concat(F.lit("<body>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "frag"))), lambda x: F.concat(F.lit("<p>"), x["frag"], F.lit("</p>"))), ""), F.lit("</body>"))
+        one = own.groupBy("pair_id").agg(html.alias("html"))
+        spine = F.array(F.struct(F.lit(0).alias("position"), F.lit("p.xhtml").alias("href"), F.col("html").alias("html")))
+        sides_.append(one.select(F.concat("pair_id", F.lit(".epub")).alias("pair_id"), F.lit("ok").alias("status"), F.concat(F.lit(role + " "), "pair_id").alias("title"), F.array(F.lit("Both"), F.lit(role)).alias("creators"), F.array(F.lit("en" if role == "user" else "fr")).alias("languages"), cover.alias("cover"), spine.alias("spine")))
+    return sides_[0], sides_[1]
+
+
+_BOTH = "t as (select conv_id, count(*) filter (role = 'user') as a, count(*) filter (role = 'assistant') as b, sum(length(text)) filter (role = 'user') as chars_a, sum(length(text)) filter (role = 'assistant') as chars_b from conversations where length(trim(text)) > 0 group by conv_id)"
+
+
+@query("merged_books", f"with {_BOTH} select conv_id || '.epub' as book, 'user ' || conv_id || ' / assistant ' || conv_id as title, 'Both, user, assistant' as creators, 'en, fr' as languages, true as covered, a, b, cast(chars_a as bigint) as chars_a, cast(chars_b as bigint) as chars_b from t where a > 0 and b > 0")
+def merged_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of both sides of each conversation, merged, written as archives and read again: what they say of themselves, and the blocks of each language."""
+    path = shared_path(spark, "merged")
+    zips.write(books.merged(*conversation_books(spark, sf_dir)).members, path)
+    read = epub.packages(epub.archives(spark, path)).withColumn("path", F.substring_index("path", "/", -1))
+    n = F.length(tx.unescaped(tx.strip_tags("frag")))
+    counts = epub.blocks(read).groupBy("book").agg(*[f(F.col("lang") == x, n).alias(f"{o}{s}") for s, x in (("a", "en"), ("b", "fr")) for o, f in (("", lambda c, n: F.count_if(c)), ("chars_", lambda c, n: F.sum(F.when(c, n))))])
+    about = read.select(F.col("path").alias("book"), "title", F.array_join("creators", ", ").alias("creators"), F.array_join("languages", ", ").alias("languages"), (F.col("cover_type") == "image/png").alias("covered"))
+    return about.join(counts, "book")
+
+
+@query("archive_shapes", f"with {_BOTH} select conv_id || '.epub' as name, 10 as entries, true as is_zip, true as has_container, 'application/epub+zip' as mimetype, false as encrypted, 'OEBPS/content.opf' as opf, 3 as xhtml, 'x' as first from t where a > 0 and b > 0")
+def archive_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of the archives of merged books, by their central directories."""
+    path = shared_path(spark, "merged")
+    zips.write(books.merged(*conversation_books(spark, sf_dir)).members, path)
+    own = epub.fingerprint(zips.read(spark, path))
+    return own.select(F.substring_index("path", "/", -1).alias("name"), F.col("entries").cast("int").alias("entries"), "is_zip", "has_container", "mimetype", "encrypted", F.get("opf", F.lit(0)).alias("opf"), F.col("by_extension")[".xhtml"].cast("int").alias("xhtml"), F.get("sample_entries", F.lit(0)).alias("first"))
+
+
+@query("imported_books", f"with {_LINES}, {_EXPORT}, n as (select book, count(*) as want, count(*) filter (i % 11 <> 10) as got from x group by book) select book, case when want = got then 'ok' else 'wrong_count' end as status, case when want = got then 'Document ' || book || ' (xx)' end as title, case when want = got then want else 0 end as blocks from n")
+def imported_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and a translation that lacks the last of each eleven blocks, built into books and read again."""
+    own = exchange.export(lines(spark, sf_dir))
+    got = own.where("i % 11 != 10").withColumn("text", F.concat(F.lit("["), "text", F.lit("]")))
+    meta = own.select("book").distinct().select("book", F.concat(F.lit("Document "), "book").alias("title"), F.array().cast("array<string>").alias("creators"), F.lit("en").alias("lang"), F.lit("xx").alias("target_lang"))
+    made = books.imported(own, got, meta)
+    path = shared_path(spark, "imported")
+    zips.write(made.members.withColumn("archive", F.concat("archive", F.lit(".epub"))), path)
+    read = epub.packages(epub.archives(spark, path)).withColumn("path", F.regexp_extract("path", r"([^/]*)\.epub$", 1))
+    blocks = epub.blocks(read).where("lang = 'xx' and frag like '[%]'").groupBy("book").agg(F.count("*").alias("blocks"))
+    return made.status.join(read.select(F.col("path").alias("book"), "title"), "book", "left").join(blocks, "book", "left").fillna(0, ["blocks"])
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:

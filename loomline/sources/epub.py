@@ -1,22 +1,21 @@
-"""EPUB archives as rows: entries, packages, spine documents, fingerprints; and archives from chapters. One bad book is a status, not a failed job."""
+"""EPUB archives as rows: entries, packages, spine documents, fingerprints. One bad book is a status, not a failed job. plans.books writes them."""
 
 from __future__ import annotations
 
-import html
 import io
 import posixpath
-import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import extract
-from ..operators.dealing import dealt
+from . import zips
 
 #: Archives larger than this are refused before they are read into a task.
 MAX_BYTES = 400 << 20
@@ -28,9 +27,10 @@ MAX_DEPTH = 3
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, content of each file; the content of one that is too large is null."""
+    """path, length, content of each file; one that is too large has no content, and isn't read."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.when(F.col("length") <= MAX_BYTES, F.col("content")).alias("content"))
+    small, large = files.where(F.col("length") <= MAX_BYTES), files.where(F.col("length") > MAX_BYTES)
+    return small.select("path", "length", "content").unionByName(large.select("path", "length", F.lit(None).cast("binary").alias("content")))
 
 
 def _local(tag: str) -> str:
@@ -123,23 +123,19 @@ def blocks(books: DataFrame) -> DataFrame:
 
 
 def entries(files: DataFrame) -> DataFrame:
-    """path, is_zip, name, encrypted (whether it says that others are) of every archive entry in order; a file that is no archive has one row without a name."""
+    """zips.LISTING of files (path, content) that are in memory; zips.read() lists files in place."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            rows = []
-            for path, content in zip(f["path"], f["content"]):
-                try:
-                    rows += [(path, True, i, x.filename, x.filename.endswith("encryption.xml")) for i, x in enumerate(zipfile.ZipFile(io.BytesIO(content or b"")).infolist())]
-                except zipfile.BadZipFile:
-                    rows.append((path, False, 0, None, False))
-            yield pd.DataFrame(rows, columns=["path", "is_zip", "position", "name", "encrypted"])
+            for path, content in zip(f.column("path").to_pylist(), f.column("content")):
+                content = content.as_py() or b""
+                yield zips.batch(list(zips.listing(path, len(content), lambda content=content: io.BytesIO(content))))
 
-    return files.select("path", "content").mapInPandas(run, "path string, is_zip boolean, position int, name string, encrypted boolean")
+    return files.select("path", "content").mapInArrow(run, zips.LISTING)
 
 
 def fingerprint(listed: DataFrame) -> DataFrame:
-    """listed: path, is_zip, position, name, encrypted. An archive's shape without names or text: counts, flags, the ten commonest extensions ((none) for entries without), up to 3 packages, and 40 entry names made anonymous."""
+    """listed: zips.LISTING. An archive's shape without its text: size, whether it is one and what was wrong if not, its type, counts, flags, the ten commonest extensions ((none) for members without), up to 3 packages, and 40 names made anonymous."""
     name = F.col("name")
     leaf = F.ltrim(F.substring_index(name, "/", -1), F.lit("."))  # dots that begin a name begin no extension
     extension = F.coalesce(F.nullif(F.lower(F.regexp_extract(leaf, r"(\.[^.]*)$", 1)), F.lit("")), F.lit("(none)"))
@@ -151,56 +147,8 @@ def fingerprint(listed: DataFrame) -> DataFrame:
         return F.transform(F.slice(F.array_sort(F.collect_list(F.when(keep, F.struct("position", value.alias("v"))))), 1, n), lambda x: x["v"])
 
     flags = listed.groupBy("path").agg(
-        F.bool_or("is_zip").alias("is_zip"), F.count("name").alias("entries"), F.coalesce(F.bool_or(name == "META-INF/container.xml"), F.lit(False)).alias("has_container"),
+        F.max("bytes").alias("bytes"), F.bool_or("is_zip").alias("is_zip"), F.bool_or("bad_zip").alias("bad_zip"), F.max("inspect_error").alias("inspect_error"), F.max("mimetype").alias("mimetype"), F.count("name").alias("entries"), F.coalesce(F.bool_or(name == "META-INF/container.xml"), F.lit(False)).alias("has_container"),
         F.coalesce(F.bool_or(name == "mimetype"), F.lit(False)).alias("has_mimetype"), F.bool_or("encrypted").alias("encrypted"),
         first(3, F.endswith(name, F.lit(".opf")), name).alias("opf"), first(40, name.isNotNull(), tx.anonymous_name("name")).alias("sample_entries"),
     )
     return flags.join(top, "path", "left")
-
-
-def build(title: str, creators: list[str], languages: list[str], chapters: list[tuple[str, str]], cover: bytes | None = None, cover_type: str = "image/jpeg") -> bytes:
-    """An EPUB 3 archive of (title, XHTML body) chapters: the type entry first and stored, then container, package, navigation in both forms, chapters."""
-    lang = languages[0] if languages else "und"
-    esc = lambda s: html.escape(s, quote=True)
-    ident = uuid.uuid5(uuid.NAMESPACE_URL, "\n".join([title, *creators, *languages]))
-    page = '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" xml:lang="{lang}" lang="{lang}"><head><title>{title}</title></head><body>\n{body}\n</body></html>\n'
-    ids = [f"ch{k:03d}" for k in range(1, len(chapters) + 1)]
-    manifest = ['<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>', '<item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>']
-    manifest += [f'<item id="{i}" href="text/{i}.xhtml" media-type="application/xhtml+xml"/>' for i in ids]
-    image = "images/cover." + cover_type.partition("/")[2].replace("jpeg", "jpg")
-    if cover:
-        manifest.append(f'<item id="cover" href="{image}" media-type="{cover_type}" properties="cover-image"/>')
-    metadata = f'<dc:identifier id="uid">urn:uuid:{ident}</dc:identifier><dc:title>{esc(title)}</dc:title>' + "".join(f"<dc:language>{esc(x)}</dc:language>" for x in languages or ["und"]) + "".join(f"<dc:creator>{esc(x)}</dc:creator>" for x in creators)
-    # a fixed time, so that equal books are equal bytes
-    metadata += '<meta property="dcterms:modified">2000-01-01T00:00:00Z</meta>' + ('<meta name="cover" content="cover"/>' if cover else "")
-    points = "".join(f'<navPoint id="{i}" playOrder="{k}"><navLabel><text>{esc(t)}</text></navLabel><content src="text/{i}.xhtml"/></navPoint>' for k, (i, (t, _)) in enumerate(zip(ids, chapters), 1))
-    nav = "<nav epub:type=\"toc\"><ol>" + "".join(f'<li><a href="text/{i}.xhtml">{esc(t)}</a></li>' for i, (t, _) in zip(ids, chapters)) + "</ol></nav>"
-    parts = {
-        "META-INF/container.xml": '<?xml version="1.0"?>\n<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>',
-        "OEBPS/content.opf": f'<?xml version="1.0" encoding="utf-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">{metadata}</metadata><manifest>{"".join(manifest)}</manifest><spine toc="ncx">{"".join(f"<itemref idref=\"{i}\"/>" for i in ids)}</spine></package>',
-        "OEBPS/nav.xhtml": page.format(lang=esc(lang), title=esc(title), body=nav),
-        "OEBPS/toc.ncx": f'<?xml version="1.0" encoding="utf-8"?>\n<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="urn:uuid:{ident}"/></head><docTitle><text>{esc(title)}</text></docTitle><navMap>{points}</navMap></ncx>',
-        **{f"OEBPS/text/{i}.xhtml": page.format(lang=esc(lang), title=esc(t), body=b) for i, (t, b) in zip(ids, chapters)},
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        stamp = (1980, 1, 1, 0, 0, 0)
-        z.writestr(zipfile.ZipInfo("mimetype", stamp), "application/epub+zip", zipfile.ZIP_STORED)
-        for name, text in parts.items():
-            z.writestr(zipfile.ZipInfo(name, stamp), text, zipfile.ZIP_DEFLATED)
-        if cover:
-            z.writestr(zipfile.ZipInfo(f"OEBPS/{image}", stamp), cover, zipfile.ZIP_DEFLATED)
-    return out.getvalue()
-
-
-def written(chapters: DataFrame, books: DataFrame) -> DataFrame:
-    """book, content. chapters: book, chapter, title, body. books: book, title, creators, languages, cover, cover_type. A book is one task's work."""
-
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("chapter")
-        one = f.iloc[0]
-        content = build(one["book_title"], list(one["creators"]), list(one["languages"]), list(zip(f["title"], f["body"])), one["cover"], one["cover_type"] or "image/jpeg")
-        return pd.DataFrame({"book": [key[0]], "content": [content]})
-
-    both = chapters.select("book", "chapter", "title", "body").join(books.select("book", F.col("title").alias("book_title"), "creators", "languages", "cover", "cover_type"), "book")
-    return dealt(both, "book").groupBy("book").applyInPandas(run, "book string, content binary")
