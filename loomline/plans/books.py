@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import alignment, chapters, exchange, languages, script
+from ..operators.tables import kept
 from ..sources import epub
 from . import merge
 
@@ -163,7 +164,7 @@ def merged(
         parsed = epub.blocks(books.withColumn("path", F.col("pair_id"))).withColumnRenamed("book", "pair_id")
         if convert_side == name and tables:
             parsed = parsed.withColumn("frag", script.converted("frag", tables))
-        sides[name] = parsed
+        sides[name] = kept(parsed, f"blocks-{name}")
     # as many rows as pairs, with neither texts nor covers
     brief = [x.select("pair_id", F.col("status").alias(f"status_{s}"), F.col("title").alias(f"title_{s}"), F.col("creators").alias(f"creators_{s}"), F.col("languages").alias(f"languages_{s}"), F.col("cover").alias(f"cover_{s}")) for s, x in (("a", a), ("b", b))]
     pairs = brief[0].join(brief[1], "pair_id")
@@ -185,7 +186,7 @@ def merged(
         F.array(lang("a"), lang("b")).alias("languages"), F.lit(None).cast("string").alias("publisher"),
         _text("Two languages side by side (", lang("a"), ", ", lang("b"), "), aligned by machine.").alias("description"), F.coalesce("cover_a", "cover_b").alias("cover"),
     )
-    shown = merge.rendered(beads, sides["a"], sides["b"], blur_side)
+    shown = kept(merge.rendered(beads, sides["a"], sides["b"], blur_side), "chapters")
     styles, scripts = {"bilingual.css": PAIRED_STYLE.format(blur=blur)}, {"peek.js": PAIRED_SCRIPT}
     bar = _text('<p class="toolbar" data-nocontent="1"><a class="toggle-all" href="#">', tx.escaped(F.lit(toggle)), "</a></p>\n")
     section = _text(F.when(F.col("veiled"), _text('<section epub:type="chapter" class="chap">\n', bar)).otherwise('<section epub:type="chapter" class="chap noblur">\n'), F.col("body"), "\n</section>")
@@ -199,7 +200,7 @@ def imported(exported: DataFrame, translated: DataFrame, books: DataFrame, lang:
     The language is the one given, else the file's, else und; the title is the source's with the language. A translation that doesn't line up makes no book; its status is
     that of exchange.validate().
     """
-    checked = exchange.validate(exported, translated).select("book", "status")
+    checked = kept(exchange.validate(exported, translated).select("book", "status"), "checked")
     fine = checked.where("status = 'ok'").select("book")
     to = F.lit(lang) if lang else F.coalesce(F.nullif(F.col("target_lang"), F.lit("")), F.lit("und")) if "target_lang" in books.columns else F.lit("und")
     own = books.join(fine, "book", "left_semi").withColumn("to", to)
@@ -209,14 +210,14 @@ def imported(exported: DataFrame, translated: DataFrame, books: DataFrame, lang:
         "book", (F.lit(title) if title else _text(untitled, " (", F.col("to"), ")")).alias("title"), "creators", F.array("to").alias("languages"), F.lit(None).cast("string").alias("publisher"),
         _text("A machine's translation from ", F.coalesce("lang", F.lit("?")), ".").alias("description"), F.lit(None).cast("binary").alias("cover"),
     )
-    pages = plain_pages(blocks)
+    pages = kept(plain_pages(blocks), "pages")
     counts = pages.groupBy("book").agg(F.count("*").alias("chapters"))
     return Books(members(pages, meta, PLAIN_STYLE), counts, checked)
 
 
 def split(books: DataFrame, langs: list[str] | None = None) -> Books:
     """A book in each language of books (epub.PACKAGE); the archive's name is a slug of the path's last part with the language. Status: ok, the archive's, or no_text."""
-    blocks = epub.blocks(books)
+    blocks = kept(epub.blocks(books), "blocks")
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
     parts = languages.split(blocks, langs).withColumnRenamed("book", "path")
     name = _text(tx.slug(stem), ".", F.col("lang"), ".epub")
@@ -225,7 +226,7 @@ def split(books: DataFrame, langs: list[str] | None = None) -> Books:
         name.alias("book"), _text(F.col("title"), " (", F.col("lang"), ")").alias("title"), "creators", F.array("lang").alias("languages"), F.lit(None).cast("string").alias("publisher"),
         _text("The ", F.col("lang"), " part of a book in several languages.").alias("description"), "cover",
     )
-    pages = plain_pages(parts.select(name.alias("book"), "seq", "tag", "frag", "lang"))
+    pages = kept(plain_pages(parts.select(name.alias("book"), "seq", "tag", "frag", "lang")), "pages")
     has = blocks.select(F.col("book").alias("path")).distinct().withColumn("has", F.lit(True))
     status = books.select("path", "status").join(has, "path", "left").select("path", F.when(F.col("status") != "ok", F.col("status")).when(F.col("has").isNull(), "no_text").otherwise("ok").alias("status"))
     return Books(members(pages, meta, PLAIN_STYLE), pages.groupBy("book").agg(F.count("*").alias("chapters")), status)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import alignment, chapters, exchange, extract, languages
+from ..operators.tables import shared_path
 from ..sources import epub, logs, zips
 from ..streaming import buckets, sessions, translation
 from . import books, merge
@@ -35,19 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that all executors share (spark.checkpoint.dir), gone when the session ends. Where none is set, a temporary one in local mode, and an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: what this query writes needs a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loomline-")
-    path = f"{base.rstrip('/')}/loomline/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """User and assistant turns of the conversations that have both."""
     turns = table(spark, sf_dir, "conversations")

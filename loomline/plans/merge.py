@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import alignment, chapters
+from ..operators.tables import kept
 
 # What the reader's style sheet is told.
 BLUR, BLUR_SIDE, TOGGLE = "0.25em", "b", "Show / hide translation"
@@ -15,8 +16,8 @@ BLUR, BLUR_SIDE, TOGGLE = "0.25em", "b", "Show / hide translation"
 
 def merged(a: DataFrame, b: DataFrame, ceiling: int = alignment.CORRIDOR_BYTES) -> DataFrame:
     """a, b: pair_id, seq, tag, frag. Beads with margin, doubtful, chapter and the titles of the chapters that they begin. A pair with an empty side gives none: see empty_sides()."""
-    beads = alignment.doubtful(alignment.align(a, b, ceiling))
-    return chapters.of_beads(beads.where("a_n + b_n > 0"), a, b)
+    beads = kept(alignment.align(a, b, ceiling), "beads")
+    return kept(chapters.of_beads(alignment.doubtful(beads).where("a_n + b_n > 0"), a, b), "chapters")
 
 
 def empty_sides(a: DataFrame, b: DataFrame) -> DataFrame:

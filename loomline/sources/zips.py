@@ -7,6 +7,7 @@ systems that Arrow knows by a path's scheme. For stores that only Spark can read
 
 from __future__ import annotations
 
+import io
 import os
 import shutil
 import tempfile
@@ -39,6 +40,42 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), os.path.abspath(path)
 
 
+class _Seekable(io.RawIOBase):
+    """An Arrow file that refuses to seek before its beginning as Python's files do."""
+
+    def __init__(self, file: pa.NativeFile) -> None:
+        self.file, self.size = file, file.size()
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        to = offset + (0, self.file.tell(), self.size)[whence]
+        if to < 0:
+            raise OSError("before the beginning of a file")
+        self.file.seek(to)
+        return to
+
+    def readinto(self, into: memoryview) -> int:
+        data = self.file.read(len(into))
+        into[: len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
+def open_seekable(fs: pafs.FileSystem, path: str) -> BinaryIO:
+    return io.BufferedReader(_Seekable(fs.open_input_file(path)), 1 << 16)
+
+
 @dataclass
 class _Files(InputPartition):
     """Files of one task, with their sizes."""
@@ -62,7 +99,7 @@ class _ListingReader(DataSourceReader):
         fs, _ = file_system(partition.base)
         rows = []
         for path, size in partition.files:
-            for row in listing(path, size, lambda path=path: fs.open_input_file(path)):
+            for row in listing(path, size, lambda path=path: open_seekable(fs, path)):
                 rows.append(row)
                 if len(rows) >= BATCH_ROWS:
                     yield batch(rows)

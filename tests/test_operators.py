@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as tx
 from loomline.operators import exchange, extract, languages
-from loomline.sources import epub, logs
+from loomline.plans import books
+from loomline.sources import epub, logs, zips
 from loomline.streaming import buckets
 
 
@@ -100,9 +101,13 @@ def archive(parts):
     return out.getvalue()
 
 
-def test_epub_round_trip_and_bad_archives(spark):
-    book = epub.build("T & t", ["A"], ["fr"], [("C1", "<h1>C1</h1><p>one</p>"), ("C2", "<p>two</p>")], b"\x89PNG\r\n\x1a\n", "image/png")
-    assert book == epub.build("T & t", ["A"], ["fr"], [("C1", "<h1>C1</h1><p>one</p>"), ("C2", "<p>two</p>")], b"\x89PNG\r\n\x1a\n", "image/png")
+def test_epub_round_trip_and_bad_archives(spark, tmp_path):
+    meta = spark.createDataFrame([("book.epub", "T & t", ["A"], ["fr"], None, None, b"\x89PNG\r\n\x1a\n")], books.BOOK)
+    pages = spark.createDataFrame([("book.epub", 1, "C1", "<body><h1>C1</h1><p>one</p></body>", False), ("book.epub", 2, "C2", "<body><p>two</p></body>", False)], "book string, chapter int, title string, page string, scripted boolean")
+    zips.write(books.members(pages, meta), str(tmp_path))
+    book = (tmp_path / "book.epub").read_bytes()
+    zips.write(books.members(pages, meta), str(tmp_path), "overwrite")
+    assert book == (tmp_path / "book.epub").read_bytes()
     parts = {n: zipfile.ZipFile(io.BytesIO(book)).read(n) for n in zipfile.ZipFile(io.BytesIO(book)).namelist()}
     nested = archive({f"My Book/{k}": v for k, v in parts.items()} | {"__MACOSX/META-INF/container.xml": b"junk"})
     two = archive({f"{d}/{k}": v for k, v in parts.items() for d in "ab"})
