@@ -2,7 +2,8 @@
 
 A bounded sample is split in halves, again and again, until each part has few vectors; the parts' centres are the heads of posting lists, joined by an
 in-memory graph of near and far links that a beam search walks. Each vector goes to its nearest list and, near a boundary, to others as well. A query reads
-the lists whose centres are within a ratio of its nearest centre's distance. Only the centres (bounded by max_lists) are sent to all tasks.
+the lists whose centres are within a ratio of its nearest centre's distance. Only the centres (bounded by MAX_LISTS) are sent to all tasks. Vectors of
+each length have an index of their own; a length that the sample lacks has one list, which is read whole.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,13 +23,15 @@ from . import common
 
 #: Rows that the index is fitted on at most (the smallest hashes); all rows are indexed.
 SAMPLE_ROWS = 40_000
-MAX_LISTS = 1024
+MAX_LISTS = 512
 #: Sampled vectors of a list.
 LIST_ROWS = 48
 #: Lists a vector is put in at most, and the ratio of squared distances up to which it is.
 REPLICAS, BOUNDARY = 3, 1.25
+#: A chosen centre is beside another one if their squared distance is below this share of the vector's to the other.
+BESIDE = 0.5
 #: Lists a query reads at most, and the ratio of squared distances up to which it does.
-PROBES, PRUNE = 64, 1.9
+PROBES, PRUNE = 64, 2.2
 #: Rows of a list, and queries of a list, that one task takes; longer ones are split.
 SPLIT_ROWS = 4096
 
@@ -97,14 +101,17 @@ def beam_search(centres: np.ndarray, links: np.ndarray, q: np.ndarray, width: in
 
 
 def lists_for_vectors(centres: np.ndarray, links: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) of every copy: the nearest list, and those within the ratio that no chosen centre is nearer to than the vector."""
+    """(row, list) of every copy: the nearest list, and those within the ratio unless a chosen centre is much nearer to theirs than the vector is."""
     beam, sims = beam_search(centres, links, x, 16)
     d = 2 - 2 * sims
     keep = np.zeros(beam.shape, bool)
     keep[:, 0] = True
     for j in range(1, beam.shape[1]):
-        ok = (d[:, j] <= BOUNDARY * d[:, 0] + 1e-12) & (sims[:, j] > -2) & (keep.sum(1) < REPLICAS)
-        keep[:, j] = ok
+        ok = np.flatnonzero((d[:, j] <= BOUNDARY * d[:, 0] + 1e-12) & (sims[:, j] > -2) & (keep.sum(1) < REPLICAS))
+        for i in range(j):  # a list beside a chosen one, seen from the vector, would hold what that one holds
+            apart = 2 - 2 * np.einsum("nd,nd->n", centres[beam[ok, i]], centres[beam[ok, j]])
+            ok = ok[~(keep[ok, i] & (apart < BESIDE * d[ok, j]))]
+        keep[ok, j] = True
     row, col = np.nonzero(keep)
     return row, beam[row, col]
 
@@ -119,8 +126,8 @@ def lists_for_queries(centres: np.ndarray, links: np.ndarray, q: np.ndarray) ->
 def search(vectors: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, the k nearest other rows found, by cosine, ties to the smaller id.
 
-    Vectors null, zero or with null or non-finite components take no part, nor do rows without an id; of vectors of several lengths only those of one length
-    are compared. Equal vectors are one entry of the index that holds its k + 1 smallest ids, which is all that an answer can need, so a vector that a third of
+    Vectors null, zero or with null or non-finite components take no part, nor do rows without an id; a query's candidates are the vectors of its length, with
+    which alone it has a cosine. Equal vectors are one entry of the index that holds its k + 1 smallest ids, which is all that an answer can need, so a vector that a third of
     all rows share costs as much as any other. Rows that repeat an id are one candidate. An empty table has no answers.
     """
     spark = vectors.sparkSession
@@ -128,45 +135,57 @@ def search(vectors: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: st
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     base = base.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x != 0)")
-    base = base.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64("v", F.lit(1)))
+    base = base.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
     base = common.materialize(base, "vectors")
-    length = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    base = base.where(F.size("v") == (length[0] if length else 0))
     smallest = W.partitionBy("h1", "h2").orderBy("vec_id")
     firsts = base.groupBy("h1", "h2", "vec_id").agg(F.first("v").alias("v")).withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= k + 1)
     entries = common.materialize(firsts.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "entries")
     asked = base.where(F.col("vec_id") % every == 0).select("vec_id", "h1", "h2").distinct()
     queries = entries.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "v")
 
-    sample = np.array([r[0] for r in entries.select("v").orderBy(F.xxhash64("h1"), "h2").limit(SAMPLE_ROWS).collect() if r[0]] or [[1.0]])
-    unit = sample / np.linalg.norm(sample / np.abs(sample).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(sample).max(1, keepdims=True)
-    centres = balanced_centres(unit, max(LIST_ROWS, -(-len(unit) // (MAX_LISTS // 2)))).astype(np.float32)
-    links = graph(centres)
+    sample: dict[int, list] = {}
+    for r in entries.select("v").orderBy(F.xxhash64("h1"), "h2").limit(SAMPLE_ROWS).collect():
+        sample.setdefault(len(r[0]), []).append(r[0])
+    index = {}
+    for n, rows in sample.items():
+        x = np.array(rows)
+        x /= np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        # all lengths together have MAX_LISTS lists, or one each
+        most = max(1, MAX_LISTS // 2 * len(unit) // sum(map(len, sample.values())))
+        centres = balanced_centres(unit, max(LIST_ROWS, -(-len(unit) // most))).astype(np.float32)
+        index[n] = (centres, graph(centres))
 
     def routed(df: DataFrame, lists, cols: list[str]) -> DataFrame:
-        schema = T.StructType([*df.select(*cols).schema, T.StructField("list", T.IntegerType())])
+        schema = T.StructType([*df.select(*cols).schema, T.StructField("n", T.IntegerType()), T.StructField("list", T.IntegerType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for b in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(b, 1024).select(cols)
-                    x = _matrix(batch.column(cols.index("v")))
-                    x = x / np.abs(x).max(1, keepdims=True)
-                    row, to = lists(centres, links, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))
-                    took = batch.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*took.columns, pa.array(to, pa.int32())], [*cols, "list"])
+                whole = whole.select(cols)
+                lengths = pc.list_value_length(whole.column(cols.index("v"))).to_numpy()
+                for n in np.unique(lengths).tolist():
+                    own = whole.take(pa.array(np.flatnonzero(lengths == n)))
+                    for b in range(0, own.num_rows, 1024):
+                        batch = own.slice(b, 1024)
+                        row, to = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int32)
+                        if n in index:
+                            x = _matrix(batch.column(cols.index("v")))
+                            x = x / np.abs(x).max(1, keepdims=True)
+                            row, to = lists(*index[n], (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))
+                        took = batch.take(pa.array(row))
+                        yield pa.RecordBatch.from_arrays([*took.columns, pa.array(np.full(len(row), n), pa.int32()), pa.array(to, pa.int32())], [*cols, "n", "list"])
 
         return df.mapInArrow(common.released(run), schema)
 
     placed = common.materialize(routed(entries, lists_for_vectors, ["v", "ids"]), "placed")
     probed = common.materialize(routed(queries, lists_for_queries, ["h1", "h2", "v"]), "probed")
-    # one row a list, at most MAX_LISTS: how many parts its rows and its queries are split in
-    rows, asks = (dict(df.groupBy("list").count().collect()) for df in (placed, probed))
-    split = lambda n: -(-n // SPLIT_ROWS)
-    part = spark.createDataFrame([(i, split(n), split(asks.get(i, 0)) or 1) for i, n in rows.items()] or [(0, 1, 1)], "list int, row_parts int, query_parts int")
-    left = placed.join(F.broadcast(part), "list").withColumn("row_part", F.expr("pmod(xxhash64(v), row_parts)")).withColumn("query_part", F.explode(F.expr("sequence(0, query_parts - 1)")))
-    right = probed.join(F.broadcast(part), "list").withColumn("query_part", F.expr("pmod(h1, query_parts)").cast("int")).withColumn("row_part", F.explode(F.expr("sequence(0L, row_parts - 1L)")))
-    keys = ["list", "row_part", "query_part"]
+    # a row for each list: how many parts its rows and its queries are split in; MAX_LISTS of them and one for each length of vectors
+    sizes = placed.groupBy("n", "list").agg(F.count("*").alias("rows")).join(probed.groupBy("n", "list").agg(F.count("*").alias("asks")), ["n", "list"])
+    split = lambda c: F.expr(f"cast(ceil({c} / {SPLIT_ROWS}) as int)")
+    part = common.materialize(sizes.select("n", "list", split("rows").alias("row_parts"), split("asks").alias("query_parts")), "lists", narrow=True)
+    left = placed.join(F.broadcast(part), ["n", "list"]).withColumn("row_part", F.expr("pmod(xxhash64(v), row_parts)")).withColumn("query_part", F.explode(F.expr("sequence(0, query_parts - 1)")))
+    right = probed.join(F.broadcast(part), ["n", "list"]).withColumn("query_part", F.expr("pmod(h1, query_parts)").cast("int")).withColumn("row_part", F.explode(F.expr("sequence(0L, row_parts - 1L)")))
+    keys = ["n", "list", "row_part", "query_part"]
     left, right = left.select(*keys, "v", "ids"), right.select(*[F.col(x).alias(f"q_{x}") for x in keys], "h1", "h2", "v")
 
     def score(_, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
