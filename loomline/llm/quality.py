@@ -167,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network
     ids = docs.select("doc_id").where(may_learn()).distinct().join(labels, "doc_id", "left_anti")
     kinds = [bounded(labels.where(F.col("quality") == q).select("doc_id"), rows).withColumn("kind", F.lit(q)) for q in (0, 1)] + [bounded(ids, rows).withColumn("kind", F.lit(2))]
     asked = kinds[0].union(kinds[1]).union(kinds[2])  # 3 * rows ids at most
-    got = _feature_rows(docs.join(F.broadcast(asked), "doc_id"), ["doc_id", "kind"]).dropDuplicates(["doc_id"]).collect()
+    # of an id that stands for several texts always the same one
+    got = _feature_rows(docs.join(F.broadcast(asked), "doc_id"), ["doc_id", "kind"]).groupBy("doc_id", "kind").agg(F.min("f").alias("f")).collect()
     got.sort(key=lambda r: r["doc_id"])
     x = {k: np.array([np.frombuffer(r["f"], np.float32) for r in got if r["kind"] == k]).reshape(-1, WIDTH) for k in range(3)}
     del got

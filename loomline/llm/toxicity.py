@@ -2,7 +2,8 @@
 
 Words come in by a hashed word embedding and the mean of hashed embeddings of their character trigrams. All overlapping windows of a text are scored; the
 text's margin is that of its worst window. In training a positive text's loss goes to its windows by their share in a soft maximum, and all windows of a clean
-text are clean. One component of the word embedding begins at the evidence that the word's occurrence in training texts gives, so few texts are enough.
+text are clean. One component of the word embedding begins at the evidence that the word's occurrence in training texts gives, and so does a weight by which a word
+adds to its windows' margins beside the recurrence, so few texts are enough.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ WORDS, GRAMS, DIM, HIDDEN, ATTENTION = 1 << 13, 1 << 12, 12, 8, 8
 #: Clean and toxic texts that the model is fitted on at most, and labelled texts for its scale: those with the smallest hashes.
 FIT_ROWS, SCALE_ROWS = (2700, 900), 2000
 THRESHOLD = 0.3
+#: A word's evidence times this is the weight with which it begins to add to margins by itself.
+DIRECT = 0.5
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -66,17 +69,24 @@ class Network:
         self.wf, self.wb = gru.uniform(rng, HIDDEN, 3 * HIDDEN), gru.uniform(rng, HIDDEN, 3 * HIDDEN)
         self.wa, self.va = gru.uniform(rng, 2 * HIDDEN, ATTENTION), gru.uniform(rng, ATTENTION, 1)[:, 0]
         self.wo, self.bo = gru.uniform(rng, 2 * HIDDEN, 1)[:, 0], np.array([-2.0], np.float32)
+        self.direct = np.zeros(WORDS, np.float32)
         self.slope, self.bias = 1.0, 0.0
 
     def params(self) -> list[np.ndarray]:
-        return [self.ew, self.ec, self.wx, self.bx, self.wf, self.wb, self.wa, self.va, self.wo, self.bo]
+        return [self.ew, self.ec, self.wx, self.bx, self.wf, self.wb, self.wa, self.va, self.wo, self.bo, self.direct]
 
     def embed(self, words: Words) -> np.ndarray:
         mean = np.add.reduceat(self.ec[words.grams], words.gram_at, axis=0) / words.count[:, None].astype(np.float32) if len(words.count) else np.zeros((0, DIM), np.float32)
         return np.concatenate([self.ew[words.bucket], mean], 1)
 
-    def forward(self, projected: np.ndarray, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Margins of windows; projected has the inputs of both directions for each distinct word, and a last row for -1."""
+    def project(self, words: Words, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each distinct word the inputs of both directions and what it adds by itself, and a last row for -1. x is what embed() gave."""
+        x = self.embed(words) if x is None else x
+        return np.concatenate([x @ self.wx + self.bx, np.zeros((1, 6 * HIDDEN), np.float32)]), np.append(self.direct[words.bucket], np.float32(0))
+
+    def forward(self, inputs: tuple[np.ndarray, np.ndarray], ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Margins of windows; inputs are what project() gave."""
+        projected, alone = inputs
         n = len(ids)
         states = np.zeros((2, WINDOW, n, HIDDEN), np.float32)
         cache: list[list] = [[], []]
@@ -96,7 +106,7 @@ class Network:
         pooled = (alpha[:, :, None] * both).sum(0)
         if keep is not None:
             keep |= {"cache": cache, "both": both, "u": u, "alpha": alpha, "pooled": pooled, "mask": mask}
-        return pooled @ self.wo + self.bo
+        return pooled @ self.wo + self.bo + alone[ids].sum(1)
 
     def gradients(self, words: Words, x: np.ndarray, ids: np.ndarray, keep: dict, d: np.ndarray) -> list[np.ndarray]:
         """Of all parameters, for the margins' gradient d; x is what embed() gave."""
@@ -124,18 +134,25 @@ class Network:
         dew, dec = np.zeros_like(self.ew), np.zeros_like(self.ec)
         np.add.at(dew, words.bucket, dx[:, :DIM])
         np.add.at(dec, words.grams, np.repeat(dx[:, DIM:] / words.count[:, None].astype(np.float32), words.count, axis=0))
-        return [dew, dec, x.T @ dproj, dproj.sum(0), dw[0], dw[1], dwa, np.tensordot(de, u, ((0, 1), (0, 1))), dwo, d.sum(keepdims=True)]
+        alone, direct = np.zeros(len(x) + 1, np.float32), np.zeros_like(self.direct)
+        np.add.at(alone, ids, d[:, None])
+        np.add.at(direct, words.bucket, alone[:-1])
+        return [dew, dec, x.T @ dproj, dproj.sum(0), dw[0], dw[1], dwa, np.tensordot(de, u, ((0, 1), (0, 1))), dwo, d.sum(keepdims=True), direct]
 
     def margins(self, texts: pa.Array, most: int = 4096) -> np.ndarray:
         """The largest window margin of each text."""
         words = Words(texts)
-        projected = np.concatenate([self.embed(words) @ self.wx + self.bx, np.zeros((1, 6 * HIDDEN), np.float32)])
+        inputs = self.project(words)
         ids, of = words.windows()
         out = np.full(len(texts), -np.inf)
         for b in range(0, len(ids), most):
-            np.maximum.at(out, of[b : b + most], self.forward(projected, ids[b : b + most]).astype(float))
+            np.maximum.at(out, of[b : b + most], self.forward(inputs, ids[b : b + most]).astype(float))
         return out
 
+    def all_margins(self, texts: list[str]) -> np.ndarray:
+        """margins() of some texts at a time."""
+        return np.concatenate([self.margins(pa.array(texts[b : b + 200], pa.string())) for b in range(0, len(texts), 200)])
+
     def probability(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.bias, -30, 30)))
 
@@ -154,10 +171,22 @@ def evidence(texts: list[str], labels: np.ndarray, least: float = 2.5, most: flo
     return np.sign(has[1] / n[1] - has[0] / n[0]) * np.clip(np.sqrt(np.maximum(ratio, 0)) - least, 0, most)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 8, per_batch: int = 40, rate: float = 6e-3, clean_windows: int = 10, seed: int = 11) -> Network:
+def ranking(margins: np.ndarray, labels: np.ndarray) -> float:
+    """How often a toxic text's margin is above a clean one's; ties count half."""
+    order = np.sort(margins)
+    rank = (np.searchsorted(order, margins, "left") + np.searchsorted(order, margins, "right") + 1) / 2
+    toxic, n = labels == 1, int((labels == 1).sum())
+    return float((rank[toxic].sum() - n * (n + 1) / 2) / max(n * (len(labels) - n), 1))
+
+
+def train(texts: list[str], labels: np.ndarray, held: list[str], held_labels: np.ndarray, epochs: int = 8, per_batch: int = 40, rate: float = 6e-3, clean_windows: int = 10, seed: int = 11) -> Network:
+    """The network after the epoch that ranks the held texts best, so that few texts aren't learnt by heart."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    net.ew[:, 0] += 2 * evidence(texts, labels)
+    told = evidence(texts, labels).astype(np.float32)
+    net.ew[:, 0] += 2 * told
+    net.direct += DIRECT * told
     adam = gru.Adam(net.params(), rate)
+    best, kept_at = -1.0, [p.copy() for p in net.params()]
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for b in range(0, len(order), per_batch):
@@ -170,7 +199,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, per_batch: int
             ids, of, y = ids[keep_], of[keep_], y[keep_]
             x = net.embed(words)
             kept: dict = {}
-            f = net.forward(np.concatenate([x @ net.wx + net.bx, np.zeros((1, 6 * HIDDEN), np.float32)]), ids, kept)
+            f = net.forward(net.project(words, x), ids, kept)
             p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
             top = np.full(len(own), -np.inf, np.float32)
             np.maximum.at(top, of, f)
@@ -182,28 +211,34 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, per_batch: int
             # embeddings of words seen once should not tell texts apart
             net.ew *= np.float32(0.997)
             net.ec *= np.float32(0.999)
+        if (now := ranking(net.all_margins(held), held_labels)) > best:
+            best, kept_at = now, [p.copy() for p in net.params()]
+    for p, at_best in zip(net.params(), kept_at):
+        p[...] = at_best
     return net
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     """docs: doc_id, text. labels: doc_id, toxic. Learns labels of rows outside the held-out fold only; None if both labels can't be learnt from.
 
-    A label that is null is none, of several for one id the largest counts. Fit and scale use different rows.
+    A label that is null is none, of several for one id the largest counts. Fit and scale use different rows; those of the scale also say when to stop.
     """
     labels = labels.select("doc_id", "toxic").where(quality.may_learn() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4))
     sample = [quality.bounded(labels.where((F.col("toxic") == y) & (part > 0)), FIT_ROWS[y]) for y in (0, 1)] + [quality.bounded(labels.where(part == 0), SCALE_ROWS)]
     asked = sample[0].union(sample[1]).union(sample[2]).withColumn("scale", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4)) == 0)
-    rows = docs.join(F.broadcast(asked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic", "scale").collect()  # sum(FIT_ROWS) + SCALE_ROWS at most
+    # of an id that stands for several texts always the same one; sum(FIT_ROWS) + SCALE_ROWS at most
+    one = F.min_by(F.struct("text", "toxic", "scale"), F.struct(F.xxhash64("text"), "text"))
+    rows = docs.join(F.broadcast(asked), "doc_id").groupBy("doc_id").agg(one.alias("one")).select("doc_id", "one.*").collect()
     rows.sort(key=lambda r: r["doc_id"])
     own = [r for r in rows if not r["scale"]]
     y = np.array([r["toxic"] for r in own])
     if not len(y) or y.min() == y.max():
         return None
-    net = train([r["text"] or "" for r in own], y)
     held = [r for r in rows if r["scale"]] or own
-    f = np.concatenate([net.margins(pa.array([r["text"] or "" for r in held[b : b + 200]], pa.string())) for b in range(0, len(held), 200)])
-    net.slope, net.bias = quality.logistic_fit(f, np.array([r["toxic"] for r in held]))
+    held_texts, held_labels = [r["text"] or "" for r in held], np.array([r["toxic"] for r in held])
+    net = train([r["text"] or "" for r in own], y, held_texts, held_labels)
+    net.slope, net.bias = quality.logistic_fit(net.all_margins(held_texts), held_labels)
     return net
 
 

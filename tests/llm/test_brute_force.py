@@ -287,12 +287,34 @@ def test_op6_round_trip_and_decoders(spark, texts):
             media.parse_wav(bad)
 
 
-@pytest.mark.parametrize("name, label", [("op7_quality", "quality"), ("op8_toxicity", "toxic")])
-def test_classifiers_on_held_out_rows(spark, name, label):
+def held_out_scores(spark, name, label):
     small = "/root/testdata/sf0.01"
-    got = queries.QUERIES[name](spark, small).toPandas().merge(pd.read_parquet(f"{small}/labels.parquet"), on="doc_id")
-    held = got[got.held_out]
-    assert (held.predicted == held[label]).mean() > 0.85
+    got = queries.QUERIES[name](spark, small).toPandas()
+    assert got.score.between(0, 1).all() and got.held_out.tolist() == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]
+    own = got[got.held_out].merge(pd.read_parquet(f"{small}/labels.parquet"), on="doc_id")
+    y, rank = own[label].to_numpy() == 1, own.score.rank().to_numpy()
+    auc = (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+    return own, y, auc
+
+
+def test_op7_tells_quality_on_held_out_rows(spark):
+    own, y, auc = held_out_scores(spark, "op7_quality", "quality")
+    assert auc > 0.98 and ((own.predicted == 1) == y).mean() > 0.9
+
+
+def test_op8_tells_toxic_texts_on_held_out_rows(spark):
+    # counting words, with no network, ranks these rows with an area of 0.846, and says nothing of how many are caught
+    own, y, auc = held_out_scores(spark, "op8_toxicity", "toxic")
+    assert y.sum() == 14 and auc > 0.85
+    assert own.predicted[y].mean() >= 0.6 and own.predicted[~y].mean() <= 0.1
+
+
+def test_a_repeated_id_is_always_learnt_from_the_same_text(spark):
+    rows = [(i, ("bad vile words" if i % 2 else "good kind words") + f" {i}") for i in range(60)] + [(i, f"another text {k}") for i in range(0, 60, 7) for k in range(3)]
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(60)], "doc_id long, toxic int, quality int")
+    for f in (toxicity.score, quality.classify):
+        scores = [sorted((r["doc_id"], round(r["score"], 6)) for r in f(spark.createDataFrame(rows[::way], "doc_id long, text string").repartition(parts), labels).collect()) for way, parts in ((1, 2), (-1, 5))]
+        assert scores[0] == scores[1]
 
 
 def test_op8_gradients():
@@ -303,10 +325,10 @@ def test_op8_gradients():
     ids, of = words.windows()
 
     def f():
-        return float(net.forward(np.concatenate([net.embed(words) @ net.wx + net.bx, np.zeros((1, 6 * toxicity.HIDDEN), np.float32)]), ids).sum())
+        return float(net.forward(net.project(words), ids).sum())
 
     keep, x = {}, net.embed(words)
-    net.forward(np.concatenate([x @ net.wx + net.bx, np.zeros((1, 6 * toxicity.HIDDEN), np.float32)]), ids, keep)
+    net.forward(net.project(words, x), ids, keep)
     for p, g in zip(net.params(), net.gradients(words, x, ids, keep, np.ones(len(ids), np.float32))):
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         was = p[at]
