@@ -29,16 +29,24 @@ DOUBT_RATIO, DOUBT_FLOOR = 0.25, 8.0
 
 STEPS = list(PRIORS)
 COSTS = [-100.0 * math.log(p) for p in PRIORS.values()]
+DI, DJ, COST = *np.array(STEPS).T, np.array(COSTS)
+#: So many of the steps pair blocks; they come first.
+PAIRED = sum(di > 0 and dj > 0 for di, dj in STEPS)
 _erf = np.frompyfunc(math.erf, 1, 1)  # the tail's digits are those of the platform's erf
+#: From here on erf is 1 in 64 bits, and what a length costs then.
+ERF_IS_ONE, LARGEST_COST = 6.0, float(-100.0 * np.log(LEAST_PROBABILITY))
 BEADS = "pair_id string, status string, band int, attempts int, bead int, a_from int, a_n int, b_from int, b_n int, cost double, margin double"
 
 
 def length_cost(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """-100 ln of the chance of a length at least as far from the mean. Uses 1 - cdf as it stands: its cliff past 8 deviations is part of the model."""
     mean = np.where(mean <= 0, 1.0, mean)
-    z = np.abs((x - mean) / np.sqrt(mean * VARIANCE))
-    tail = 2.0 * (1.0 - 0.5 * (1.0 + _erf(z / math.sqrt(2.0)).astype(float)))
-    return -100.0 * np.log(np.maximum(tail, LEAST_PROBABILITY))
+    z = np.abs((x - mean) / np.sqrt(mean * VARIANCE)) / math.sqrt(2.0)
+    cost = np.full(z.shape, LARGEST_COST)
+    near = np.flatnonzero(z < ERF_IS_ONE)  # beyond, nothing is left of the tail
+    tail = 2.0 * (1.0 - 0.5 * (1.0 + _erf(z[near]).astype(float)))
+    cost[near] = -100.0 * np.log(np.maximum(tail, LEAST_PROBABILITY))
+    return cost
 
 
 @dataclass
@@ -56,16 +64,23 @@ class Pair:
         self.a_sum, self.b_sum = (np.concatenate([[0], np.cumsum(x)]) for x in (self.a_len, self.b_len))
         self.a_heads, self.b_heads = (np.concatenate([[0], np.cumsum(x)]) for x in (self.a_head, self.b_head))
 
+    def step_costs(self, k: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of the steps k, which ascend, from the cells (i, j): all in few calls, whatever their kinds."""
+        di, dj = DI[k], DJ[k]
+        x, y = self.a_sum[i + di] - self.a_sum[i], (self.b_sum[j + dj] - self.b_sum[j]) * self.ratio
+        ah, bh = self.a_heads[i + di] > self.a_heads[i], self.b_heads[j + dj] > self.b_heads[j]
+        p = int(np.searchsorted(k, PAIRED))  # paired steps come first
+        cost = COST[k]
+        cost[:p] += length_cost(x[:p].astype(float), y[:p])
+        cost[p:] += SKIP * np.where(di[p:] > 0, x[p:], y[p:])
+        if ah.any() or bh.any():
+            cost[:p] = np.where(ah[:p] & bh[:p], cost[:p] - HEADING, np.where(ah[:p] != bh[:p], cost[:p] + HEADING, cost[:p]))
+            cost[p:] = np.where(ah[p:] | bh[p:], cost[p:] + SKIP_HEADING, cost[p:])
+        return cost
+
     def step_cost(self, k: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Of step k from the cells (i, j)."""
-        di, dj = STEPS[k]
-        x, y = self.a_sum[i + di] - self.a_sum[i], self.b_sum[j + dj] - self.b_sum[j]
-        ah, bh = self.a_heads[i + di] > self.a_heads[i], self.b_heads[j + dj] > self.b_heads[j]
-        if di and dj:
-            cost = COSTS[k] + length_cost(x.astype(float), y * self.ratio)
-            return np.where(ah & bh, cost - HEADING, np.where(ah != bh, cost + HEADING, cost))
-        cost = COSTS[k] + SKIP * (x if di else y * self.ratio)
-        return np.where(ah | bh, cost + SKIP_HEADING, cost)
+        return self.step_costs(np.full(len(i), k), i, j)
 
 
 def sweep(pair: Pair, lo: np.ndarray, hi: np.ndarray, choices: bool) -> tuple[list, list]:
@@ -84,19 +99,30 @@ def sweep(pair: Pair, lo: np.ndarray, hi: np.ndarray, choices: bool) -> tuple[li
         step = np.full(len(i), 255, np.uint8)
         if d == 0 and len(i):
             best[0] = 0.0
+        came = []  # by step: the cells that it leads to, and what they cost before it
         for k, (di, dj) in enumerate(STEPS):
             if d < di + dj:
                 continue
             f0, before = costs[d - di - dj]
-            at = i - di - f0
-            ok = (at >= 0) & (at < len(before)) & (d - i - dj >= 0)
-            ok[ok] = np.isfinite(before[at[ok]])
-            if ok.any():
-                own = i[ok]
-                v = before[at[ok]] + pair.step_cost(k, own - di, d - own - dj)
-                less = v < best[ok]
-                where = np.flatnonzero(ok)[less]
-                best[where], step[where] = v[less], k
+            # the cells of this diagonal whose step begins in the earlier one
+            b, e = max(0, f0 + di - first), min(len(i), f0 + di + len(before) - first, d - dj - first + 1)
+            if b < e:
+                own = np.arange(b, e)
+                value = before[own + (first - di - f0)]
+                if not (fine := np.isfinite(value)).all():
+                    own, value = own[fine], value[fine]
+                if len(own):
+                    came.append((k, own, value))
+        if came:
+            kinds, at = np.repeat([k for k, _, _ in came], [len(own) for _, own, _ in came]), np.concatenate([own for _, own, _ in came])
+            from_i = at + first - DI[kinds]
+            v = np.concatenate([value for _, _, value in came]) + pair.step_costs(kinds, from_i, d - first - at - DJ[kinds])
+            begin = 0
+            for k, own, _ in came:
+                now = v[begin : begin + len(own)]
+                begin += len(own)
+                less = now < best[own]
+                best[own[less]], step[own[less]] = now[less], k
         costs.append((first, best))
         if choices:
             taken.append((first, step))
