@@ -204,12 +204,10 @@ def first_array(text: str) -> str | None:
     return None
 
 
-def item_text(item: object, strict: bool) -> str:
-    """A translation's item: a string, or the first there is of its text, translation and target. Of others, and of parts that are no strings, str() is taken; if strict, they are an error."""
+def item_text(item: object) -> str:
+    """A reply's item: a string, or the first there is of its text, translation and target; of others str() is taken."""
     if isinstance(item, dict):
-        item = next((item[key] for key in ("text", "translation", "target") if key in item and (isinstance(item[key], str) or not strict)), item)
-    if strict and not isinstance(item, str):
-        raise ValueError("an item has no text")
+        item = next((item[key] for key in ("text", "translation", "target") if key in item), item)
     return str(item)
 
 
@@ -229,7 +227,7 @@ def json_items(text: str | None) -> list[str]:
         items = json.loads(text or "")
     except ValueError:
         return []
-    return [item_text(x, strict=False) for x in items] if isinstance(items, list) else []
+    return [item_text(x) for x in items] if isinstance(items, list) else []
 
 
 #: Readers of a reply, in the order in which they are tried: all of it as JSON, the first array in it, numbered lines.

@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.accumulators import Accumulator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -49,33 +49,36 @@ def estimate(exported: DataFrame, batch: int = BATCH) -> DataFrame:
     return exported.groupBy("book").agg(n.alias("blocks"), F.sum(F.length("text")).alias("chars"), F.expr(f"(count(*) + {batch - 1}) div {batch}").alias("requests"))
 
 
-def parse_translation(text: str) -> list[str]:
-    """A file of translations: a JSON list, a JSON object with blocks, or a line for each block (blank ones don't count). What parses as JSON is JSON."""
-    try:
-        data = json.loads(text)
-    except ValueError:
-        return [line.strip() for line in text.splitlines() if line.strip()]
-    if isinstance(data, dict):
-        data = data.get("blocks")
-    if not isinstance(data, list):
-        raise ValueError("neither a list nor an object with blocks")
-    return [tx.item_text(x, strict=True) for x in data]
+# Under which names an item of a translation has its text, and a file its language.
+ITEM_KEYS, LANG_KEYS = ("text", "translation", "target"), ("target_lang", "lang")
+#: What ends a line: all that Python's splitlines() knows.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def read_translations(files: DataFrame) -> DataFrame:
-    """files: book, text. book, status (ok or bad_translation), i, text: items count by their place, whatever number they carry."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for book, text in zip(f["book"], f["text"]):
-                try:
-                    rows += [(book, "ok", i, x) for i, x in enumerate(parse_translation(text or ""))]
-                except ValueError:
-                    rows.append((book, "bad_translation", None, None))
-            yield pd.DataFrame(rows, columns=["book", "status", "i", "text"]).astype({"i": "Int32"})
-
-    return files.select("book", "text").mapInPandas(run, "book string, status string, i int, text string")
+    """files: book, text. book, status (ok or bad_translation), i, text, target_lang (if the file names it): items count by their place, whatever number they carry.
+
+    What parses as JSON is JSON: a list, or an object with the list as blocks. Its items are strings, or objects with a string under one of ITEM_KEYS. Anything else is
+    a line for each block; blank ones don't count. A file of no items has no rows. It is all expressions over variants: no Python worker sees a file.
+    """
+
+    def is_a(v: Column, kind: str) -> Column:
+        return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
+
+    def text_of(item: Column) -> Column:
+        under = [F.when(is_a(part, "STRING"), F.try_variant_get(part, "$", "string")) for part in (F.try_variant_get(item, f"$.{k}", "variant") for k in ITEM_KEYS)]
+        return F.when(is_a(item, "STRING"), F.try_variant_get(item, "$", "string")).when(is_a(item, "OBJECT"), F.coalesce(*under))
+
+    own = files.select("book", F.coalesce("text", F.lit("")).alias("raw")).withColumn("v", F.try_parse_json("raw"))
+    listed = F.when(is_a(F.col("v"), "ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(is_a(F.col("v"), "OBJECT"), F.try_variant_get("v", "$.blocks", "array<variant>"))
+    lines = F.filter(F.transform(F.split("raw", LINE_END), tx.trimmed), lambda x: x != "")
+    items = F.when(F.col("v").isNull(), lines).otherwise(F.transform(listed, text_of))
+    lang = F.coalesce(*[F.nullif(F.try_variant_get("v", f"$.{k}", "string"), F.lit("")) for k in LANG_KEYS])
+    own = own.select("book", items.alias("items"), F.when(is_a(F.col("v"), "OBJECT"), lang).alias("target_lang"))
+    fine = F.col("items").isNotNull() & ~F.exists("items", lambda x: x.isNull())
+    good = own.where(fine).select("book", F.lit("ok").alias("status"), F.posexplode("items").alias("i", "text"), "target_lang")
+    bad = own.where(~F.coalesce(fine, F.lit(False))).select("book", F.lit("bad_translation").alias("status"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("text"), "target_lang")
+    return good.unionByName(bad)
 
 
 def validate(exported: DataFrame, translated: DataFrame) -> DataFrame:

@@ -323,6 +323,36 @@ def resumed_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/cache").select("book", F.col("i").cast("long").alias("i"), "text", (F.col("run") == "first").alias("had"))
 
 
+_TRANSLATED = f"""with {_LINES}, {_EXPORT}, k as (select book, cast(book as bigint) % 5 as kind, i, text from x)
+select book, 'ok' as status, cast(i as int) as i, case kind when 2 then 'line ' || i else text end as text, coalesce(case kind when 1 then 'xx' end, '') as target_lang from k where kind < 3
+union all select distinct book, 'bad_translation', -1, '', case kind when 4 then 'yy' else '' end from k where kind >= 3"""
+
+
+@query("translation_files", _TRANSLATED)
+def translation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of translations in every shape by their id: a list, an object with blocks, lines, a number, and an object without blocks."""
+    own = exchange.export(lines(spark, sf_dir))
+    texts = F.array_sort(F.collect_list(F.struct("i", "text")))
+    one = own.groupBy("book").agg(texts.alias("t")).withColumn("kind", F.col("book").cast("long") % 5)
+    plain = F.transform("t", lambda x: x["text"])
+    text = (
+        F.when(F.col("kind") == 0, F.to_json(plain))
+        .when(F.col("kind") == 1, F.to_json(F.struct(F.lit("xx").alias("target_lang"), F.transform("t", lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"))).alias("blocks"))))
+        .when(F.col("kind") == 2, F.array_join(F.transform("t", lambda x: F.concat(F.lit(" line "), x["i"].cast("string"))), "\n\n"))
+        .when(F.col("kind") == 3, "5")
+        .otherwise('{"lang": "yy"}')
+    )
+    got = exchange.read_translations(one.select("book", text.alias("text")))
+    return got.select("book", "status", F.coalesce("i", F.lit(-1)).alias("i"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("target_lang", F.lit("")).alias("target_lang"))
+
+
+@query("killed_jobs", "select cast(s.user_id as varchar) as job, s.event_id, 'Killed' as error_type from events s where s.event_type = 'signup' and not exists (select 1 from events f where f.event_type = 'purchase' and f.user_id = s.user_id and f.ts between s.ts and s.ts + interval 12 hour)")
+def killed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups as the starts of users' jobs and purchases as their ends: those that nothing ended within twelve hours."""
+    own = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("job"), F.col("ts").alias("at_ts"))
+    return logs.killed(own.where("event_type = 'signup'"), own.where("event_type = 'purchase'"), "12 hours").select("job", "event_id", "error_type")
+
+
 @query("epub_round_trip", f"with {_LINES} select source as book, count(*) as blocks, cast(sum(length(frag)) as bigint) as chars from lines group by source")
 def epub_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books written from the sources' documents, a chapter for each, and read again."""

@@ -74,6 +74,23 @@ def digest(failures: DataFrame, reports: DataFrame) -> DataFrame:
     return by.crossJoin(of).withColumn("idle", (F.col("failures") == 0) & (F.col("reports_open") == 0))  # one row each
 
 
-def killed(starts: DataFrame, finishes: DataFrame) -> DataFrame:
-    """Jobs (by job) that began and never ended, as failures."""
-    return starts.join(finishes, "job", "left_anti").withColumn("error_type", F.lit("Killed"))
+def killed(starts: DataFrame, finishes: DataFrame, longest: str | None = None) -> DataFrame:
+    """starts, finishes: job, at_ts. Jobs that began and never ended, or not within `longest`, as failures at the time at which they began."""
+    begun, ended = starts.alias("begun"), finishes.alias("ended")
+    same = F.col("begun.job") == F.col("ended.job")
+    return _as_killed(begun.join(ended, same & _within(longest) if longest else same, "left_anti"))
+
+
+def killed_stream(starts: DataFrame, finishes: DataFrame, longest: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """The same over two streams: a start is a failure when the watermark says that no finish within `longest` can come any more. State holds what may still meet."""
+    begun, ended = starts.withWatermark("at_ts", late).alias("begun"), finishes.withWatermark("at_ts", late).alias("ended")
+    both = begun.join(ended, (F.col("begun.job") == F.col("ended.job")) & _within(longest), "left_outer")
+    return _as_killed(both.where("ended.job is null").select("begun.*"))
+
+
+def _within(longest: str) -> Column:
+    return F.expr(f"ended.at_ts between begun.at_ts and begun.at_ts + interval {longest}")
+
+
+def _as_killed(jobs: DataFrame) -> DataFrame:
+    return jobs.withColumn("error_type", F.lit("Killed")).withColumn("error", F.lit("The job began and never ended; the process was probably stopped from outside."))

@@ -88,9 +88,23 @@ def test_exchange_and_resume(spark):
     assert exchange.built(own, own).where("tag = 'h2'").count() == 1
 
 
-@pytest.mark.parametrize("text, want", [('["a", {"text": "b"}]', ["a", "b"]), ('{"blocks": [{"i": 9, "text": "a"}]}', ["a"]), ("a\n\nb\n", ["a", "b"]), ("[not json\nb", ["[not json", "b"])])
-def test_translation_files(text, want):
-    assert exchange.parse_translation(text) == want
+FILES = [
+    ('["a", {"text": "b"}]', ["a", "b"], None), ('{"blocks": [{"i": 9, "text": "a"}], "target_lang": "zh"}', ["a"], "zh"), ('{"lang": "fr", "target_lang": "", "blocks": ["x", {"translation": "y"}, {"text": 5, "target": "z"}]}', ["x", "y", "z"], "fr"),
+    ("a\n\nb\r\n  \nc\u2028d", ["a", "b", "c", "d"], None), ("[not json\nb", ["[not json", "b"], None), ("[Narrator] speaks\n{x}", ["[Narrator] speaks", "{x}"], None),
+    ('["a", 5]', None, None), ('[{"other": "a"}]', None, None), ('{"target_lang": "zh"}', None, "zh"), ("7", None, None), ('"text"', None, None), ("[]", [], None), ("", [], None), (None, [], None), ("null", None, None), ('{"blocks": "x"}', None, None),
+]
+
+
+def test_translation_files(spark):
+    df = spark.createDataFrame([(str(k), f[0]) for k, f in enumerate(FILES)], "book string, text string")
+    got = {}
+    for r in exchange.read_translations(df).collect():
+        got.setdefault(r["book"], []).append((r["i"], r["text"], r["target_lang"], r["status"]))
+    for k, (text, want, lang) in enumerate(FILES):
+        rows = sorted(got.get(str(k), []), key=str)
+        assert rows == ([(None, None, lang, "bad_translation")] if want is None else [(i, x, lang, "ok") for i, x in enumerate(want)]), text
+    plan = exchange.read_translations(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapIn" not in plan
 
 
 def archive(parts):
@@ -127,9 +141,7 @@ def test_epub_round_trip_and_bad_archives(spark, tmp_path):
 
 
 def test_items_of_replies():
-    assert [tx.item_text(x, strict=False) for x in ("a", {"text": 5}, {"target": "b", "x": 1}, {"x": 1}, 7)] == ["a", "5", "b", "{'x': 1}", "7"]
-    with pytest.raises(ValueError):
-        tx.item_text({"text": 5}, strict=True)
+    assert [tx.item_text(x) for x in ("a", {"text": 5}, {"target": "b", "x": 1}, {"x": 1}, 7)] == ["a", "5", "b", "{'x': 1}", "7"]
 
 
 def test_logs(spark, tmp_path):
@@ -199,3 +211,18 @@ def test_scrubbing_token_by_token(spark):
     df = spark.createDataFrame([(a, b) for a, b in TOKENS], "a string, b string")
     for r in df.select("a", "b", tx.scrubbed("a").alias("got")).collect():
         assert r["got"] == r["b"], r["a"]
+
+
+def test_killed_jobs_of_a_stream(spark, tmp_path):
+    rows = [("a", 0, "start"), ("a", 50, "finish"), ("b", 10, "start"), ("c", 20, "start"), ("d", 30, "start"), ("d", 4000, "finish"), ("e", 100, "start"), ("c", 300, "finish"), ("end", 90_000, "start"), ("end", 90_000, "finish"), ("last", 99_000, "start"), ("last", 99_000, "finish")]
+    df = spark.createDataFrame(rows, "job string, s long, kind string")
+    log = tmp_path / "log"
+    for part in range(0, len(rows), 3):  # c's finish comes long after later starts
+        spark.createDataFrame(rows[part : part + 3], df.schema).coalesce(1).write.mode("append").json(str(log))
+    of = lambda frame, kind: frame.where(F.col("kind") == kind).select("job", F.timestamp_seconds("s").alias("at_ts"))
+    want = sorted(map(tuple, logs.killed(of(df, "start"), of(df, "finish"), "1 hour").select("job", "at_ts", "error_type").collect()))
+    assert [w[0] for w in want] == ["b", "d", "e"]  # d ended when it was long taken for dead
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).json(str(log))
+    out = logs.killed_stream(of(stream, "start"), of(stream, "finish"), "1 hour", "10 minutes")
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("job", "at_ts", "error_type").collect())) == want
