@@ -202,7 +202,27 @@ def align_sources_en_fr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters.statistics(beads, "pair_id", "band", "attempts")
 
 
-@query("merged_chapters")
+_MERGED = f"""{_MARGINS},
+marked as (select sure.pair_id, bead, a_n, b_n, coalesce(margin < least, false) as doubtful from sure left join limits using (pair_id)),
+texts as (select cast(conv_id as varchar) as pair_id, list({_esc('text')} order by turn) filter (role = 'user') as ta, list({_esc('text')} order by turn) filter (role = 'assistant') as tb from conversations group by conv_id),
+placed as (
+  select *, cast(sum(a_n) over w as int) as i, cast(sum(b_n) over w as int) as j, a_n > 0 and b_n > 0 as paired, cast(sum(case when a_n > 0 then b_n else 0 end) over w as int) - case when a_n > 0 then b_n else 0 end as before
+  from marked window w as (partition by pair_id order by bead)
+),
+divisions as (
+  select pair_id, bead, a_n, b_n, doubtful, paired, '<div class="pair' || case when b_n = 0 then ' only-a' when a_n = 0 then ' only-b' else '' end || case when doubtful then ' unsure" data-unsure="1">' else '">' end || array_to_string(list_concat(
+    list_transform(ta[i - a_n + 1 : i], lambda x: '<p class="a" lang="user" xml:lang="user">' || x || '</p>'),
+    list_transform(range(1, b_n + 1), lambda k: case when paired
+      then '<p class="b blurred" id="ch001-p' || (before + k) || '" lang="assistant" xml:lang="assistant"><a class="peek" href="#ch001-p' || (before + k) || '">' || tb[j - b_n + k] || '</a></p>'
+      else '<p class="b" lang="assistant" xml:lang="assistant">' || tb[j - b_n + k] || '</p>' end)), chr(10)) || '</div>' as division
+  from placed join texts using (pair_id)
+)
+select pair_id, 1 as chapter, 'ch001' as cid, 'Chapter 1' as title, string_agg(division, chr(10) order by bead) as body, bool_or(paired) as veiled, cast(sum(a_n) as bigint) as a, cast(sum(b_n) as bigint) as b, count(*) filter (a_n = 1 and b_n = 1) as n11,
+  count(*) filter (paired and not (a_n = 1 and b_n = 1)) as nxx, count(*) filter (b_n = 0) as a_only, count(*) filter (a_n = 0) as b_only, count(*) filter (doubtful) as unsure
+from divisions group by pair_id"""
+
+
+@query("merged_chapters", _MERGED)
 def merged_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = sides(spark, sf_dir)
     beads = merge.merged(a, b)
